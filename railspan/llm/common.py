@@ -104,12 +104,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pw, _inv
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes of many texts, and the words of each text. A word never crosses texts."""
+#: Bytes that separate alphanumeric tokens: ASCII but digits and letters.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes of many texts, and the words of each text. A word never crosses texts; between marks the bytes that part words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_IS_WS[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .near_dedup import op5_setsketch
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .toxicity import op3_toxic_segments
 
 QUERIES = {
+    "op3_toxic_segments": op3_toxic_segments,
+    "op5_setsketch": op5_setsketch,
     "op10_quality_rules": op10_quality_rules,
 }
 
