@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import OP6_SQL, op6_raking
 from .near_dedup import op5_setsketch
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .toxicity import op3_toxic_segments
@@ -9,9 +10,11 @@ from .toxicity import op3_toxic_segments
 QUERIES = {
     "op3_toxic_segments": op3_toxic_segments,
     "op5_setsketch": op5_setsketch,
+    "op6_raking": op6_raking,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
+    "op6_raking": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
 }
