@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .mixing import OP6_SQL, op6_raking
 from .near_dedup import op5_setsketch
+from .packing import op9_pattern_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .token_blocks import op8_pfor_ids
 from .toxicity import op3_toxic_segments
 
 QUERIES = {
     "op3_toxic_segments": op3_toxic_segments,
     "op5_setsketch": op5_setsketch,
     "op6_raking": op6_raking,
+    "op8_pfor_ids": op8_pfor_ids,
+    "op9_pattern_packing": op9_pattern_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
