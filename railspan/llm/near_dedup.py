@@ -10,12 +10,12 @@ RATE. Registers of a union are the register-wise maximum, so sketches merge. BAN
 2. Equal sets collapse to one representative each.
 3. In each bucket of a band, members are proposed to one hub (the most copied text). Pairs pass the size
    bound, then the joint likelihood of the registers, then the exact test on the full sets.
-4. Components of the links. Buckets that still hold several components propose pairs across components,
-   the best estimated partner of each (document, foreign component) first, then all that remain. A pair
-   within one component needs no test: it cannot change the result. So a group of n copies costs about n
-   tests, and no pair that could join two components is left out.
+4. Components of the links. Buckets that still hold several components are searched for links between them:
+   small ones by a join, larger ones in blocks. A pair within one component needs no test: it cannot change
+   the result. So a group of n copies costs about n tests, and no pair that could join two components is
+   left out.
 
-Large buckets are paired in blocks of BLOCK members. Null, empty and blank texts have an empty set and are
+Null, empty and blank texts have an empty set and are
 linked with nothing; texts under k words have one shingle; a row without doc_id takes
 the component of an equal set, if any. Repeated rows share a component.
 """
@@ -37,8 +37,8 @@ M, BAND = 100, 4
 BASE, RATE, TOP = 1.02, 20.0, 65534
 #: A pair is dropped when its registers are exp(SLACK) times likelier at their best J than at any J of the threshold or more.
 SLACK = 12.0
-#: Members of a bucket that are paired with each other in one task at most.
-BLOCK = 512
+#: Members of a block, and shingles of a block about; a cell of two blocks is one task's work.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Buckets up to this size are paired by a join.
 SMALL = 32
 
@@ -156,6 +156,14 @@ def _plausible(pairs: DataFrame, sk: DataFrame, at_least: float) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u bigint, v bigint, est double")
 
 
+def _meets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet 100 * |both| >= percent * |either|."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets meet 100 * |both| >= percent * |either|."""
 
@@ -173,9 +181,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             for u, other in zip(hubs, sets(b.column(3)), strict=True):
                 if own is None or u != u_before:
                     own, u_before = next(made), u
-                at = np.searchsorted(own, other)
-                both = int((own[np.minimum(at, len(own) - 1)] == other).sum()) if len(own) and len(other) else 0
-                keep.append(bool(both) and 100 * both >= percent * (len(own) + len(other) - both))
+                keep.append(_meets(own, other, percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     t = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
@@ -188,42 +194,85 @@ def _fits(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def _across(members: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v, est, cu, cv) of members of one bucket in different components. members: band, key, doc, n, cnt, comp."""
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components. members: band, key, doc, n, cnt, hub, comp."""
     mixed = members.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-    left = written(members.join(mixed, ["band", "key"]), "mixed")
-    small = left.where(F.col("cnt") <= SMALL)
+    return members.join(mixed, ["band", "key"])
+
+
+def _across_small(mixed: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (u, v) of different components that share a bucket of SMALL members at most."""
+    small = mixed.where(F.col("cnt") <= SMALL)
     a, b = small.alias("a"), small.alias("b")
     few = a.join(b, F.expr("a.band = b.band and a.key = b.key and a.doc < b.doc and a.comp <> b.comp") & _fits("a.n", "b.n", percent))
     few = few.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).distinct()
-    few = _plausible(few, sk, percent / 100)
-
-    large = left.where(F.col("cnt") > SMALL).join(sk.select(F.col("doc_id").alias("doc"), "bands"), "doc")
-    blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    large = large.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-    # each block meets each block once: a member goes to nb cells
-    cells = large.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
+    return _plausible(few, sk, percent / 100).select("u", "v")
+
+
+def _across_large(mixed: DataFrame, sk: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components that share a bucket of more members, confirmed on the full sets.
+
+    Buckets with one hub are a family. Its largest component is the base; every other member, as a query, meets
+    all of the family in blocks. A cell of two blocks tests its pairs that share a band, likeliest first, and
+    skips those that its earlier links have joined: it returns a link for each joining at most, never all pairs.
+    """
+    family = mixed.where(F.col("cnt") > SMALL).select("hub", "doc", "n", "comp").distinct()
+    sizes = family.groupBy("hub", "comp").agg(F.count("*").alias("m"), F.max("n").alias("big"))
+    main = sizes.groupBy("hub").agg(F.max(F.struct("m", (-F.col("comp")).alias("c"))).alias("x"), F.sum("m").alias("all"), F.max("big").alias("big"))
+    main = main.select("hub", (-F.col("x.c")).alias("base"), F.col("x.m").alias("nb"), (F.col("all") - F.col("x.m")).alias("nq"), F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("big")))).alias("size"))
+    rows = family.join(main, "hub").withColumn("q", F.col("comp") != F.col("base"))
+    rows = rows.withColumn("qs", F.ceil(F.col("nq") / F.col("size")).cast("int")).withColumn("bs", F.ceil(F.col("nb") / F.col("size")).cast("int"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc"), F.when(F.col("q"), F.col("qs")).otherwise(F.col("bs"))).cast("int"))
+    cell = "named_struct('same', {same}, 'i', {i}, 'j', {j})"
+    to_base = "transform(sequence(0, bs - 1), j -> " + cell.format(same="false", i="blk", j="j") + ")"
+    to_queries = "transform(sequence(0, qs - 1), j -> " + cell.format(same="true", i="least(blk, j)", j="greatest(blk, j)") + ")"
+    from_base = "transform(sequence(0, qs - 1), i -> " + cell.format(same="false", i="i", j="blk") + ")"
+    rows = rows.withColumn("cell", F.explode(F.expr(f"if(q, concat({to_base}, {to_queries}), {from_base})"))).select("hub", "cell.same", "cell.i", "cell.j", "doc", "n", "comp", "q", "blk")
+    rows = rows.join(sk.select(F.col("doc_id").alias("doc"), "bands"), "doc").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         regs = np.array(p["bands"].tolist(), np.int64).view(np.uint16).reshape(len(p), M)
-        keys = regs.reshape(len(p), M // BAND, BAND)
-        doc, comp, n, blk = (p[c].to_numpy() for c in ("doc", "comp", "n", "blk"))
-        band, one = int(p["band"].iloc[0]), int(p["i"].iloc[0]) == int(p["j"].iloc[0])
-        out = []
-        for x in range(len(p)):
-            ok = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & (doc > doc[x])
-            if not one:
-                ok &= blk != blk[x]
+        keys = regs.reshape(len(p), M // BAND, BAND).copy().view(np.int64)[:, :, 0]
+        doc, comp, n, blk, q = (p[c].to_numpy() for c in ("doc", "comp", "n", "blk", "q"))
+        same, within = bool(p["same"].iloc[0]), int(p["i"].iloc[0]) == int(p["j"].iloc[0])
+        x_est, x_a, x_b = [], [], []
+        for x in np.flatnonzero(q):
+            ok = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            if not same:
+                ok &= ~q
+            elif within:
+                ok &= doc > doc[x]
+            else:
+                ok &= blk > blk[x]
             ys = np.flatnonzero(ok)
-            if band and len(ys):  # a pair belongs to the first band that it shares
-                ys = ys[~(keys[ys, :band] == keys[x, :band]).all(2).any(1)]
+            ys = ys[(keys[ys] == keys[x]).any(1)]
             if len(ys):
                 est, keep = estimate(np.broadcast_to(regs[x], (len(ys), M)), regs[ys], np.full(len(ys), float(n[x])), n[ys].astype(float), percent / 100)
-                out += [(doc[x], d, e) for d, e in zip(doc[ys[keep]], est[keep], strict=True)]
-        return pd.DataFrame(out, columns=["u", "v", "est"]).astype({"u": "int64", "v": "int64", "est": "float64"})
+                x_est.append(est[keep])
+                x_a.append(np.full(int(keep.sum()), x))
+                x_b.append(ys[keep])
+        out = []
+        if x_est:
+            a, b = np.concatenate(x_a), np.concatenate(x_b)
+            order = np.argsort(-np.concatenate(x_est), kind="stable")
+            data, offsets = texts_of(pa.array(p["text"], pa.string()))
+            sets = [own for i, j in slices(offsets) for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)]
+            root = {c: c for c in set(comp.tolist())}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                cx, cy = find(int(comp[x])), find(int(comp[y]))
+                if cx != cy and _meets(sets[x], sets[y], percent):
+                    root[cx] = cy
+                    out.append((doc[x], doc[y]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    many = cells.select("band", "key", "i", "j", "doc", "comp", "n", "blk", "bands").groupBy("band", "key", "i", "j").applyInPandas(run, "u bigint, v bigint, est double")
-    return few.unionByName(many)
+    return rows.groupBy("hub", "same", "i", "j").applyInPandas(run, "u bigint, v bigint")
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -248,29 +297,14 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = written(verified(tried, t, k, percent), "links")
     label = components(links)
 
-    def labelled(label: DataFrame) -> DataFrame:
-        c = label.select(F.col("node").alias("doc"), "comp")
-        return members.select("band", "key", "doc", "n", "cnt").join(c, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-
-    pairs = _across(labelled(label), reps, percent)
+    c = label.select(F.col("node").alias("doc"), "comp")
+    current = members.select("band", "key", "doc", "n", "cnt", "hub").join(c, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = written(_mixed(current), "mixed")
     seen = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = written(pairs.join(seen, ["u", "v"], "left_anti").dropDuplicates(["u", "v"]), "across")
-    for last in (False, True):
-        c = label.select("node", "comp")
-        open_ = pairs.join(c.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u", "left").join(c.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v", "left")
-        open_ = open_.withColumn("cu", F.coalesce("cu", "u")).withColumn("cv", F.coalesce("cv", "v")).where("cu <> cv")
-        if not last:  # the best partner of each document in each foreign component
-            best = lambda x, other, foreign: open_.groupBy(x, foreign).agg(F.max(F.struct("est", other)).alias("m")).select(F.col(x), F.col(f"m.{other}"))
-            chosen = best("u", "v", "cv").select("u", "v").unionByName(best("v", "u", "cu").select("u", "v")).distinct()
-        else:
-            chosen = open_.select("u", "v")
-        chosen = written(chosen, "chosen")
-        if chosen.isEmpty():
-            break
-        more = written(verified(chosen, t, k, percent), "links")
-        pairs = pairs.join(chosen, ["u", "v"], "left_anti")
-        if not more.isEmpty():
-            label = components(more, label)
+    few = written(_across_small(mixed, reps, percent).join(seen, ["u", "v"], "left_anti"), "across")
+    more = written(verified(few, t, k, percent).unionByName(_across_large(mixed, reps, t, k, percent)), "links")
+    if not more.isEmpty():
+        label = components(more, label)
 
     rep_of = groups.join(label, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component_id"))
     out = sk.select("doc_id", "n", "f1", "f2").join(rep_of, ["n", "f1", "f2"], "left")
