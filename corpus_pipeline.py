@@ -1,12 +1,14 @@
 """Corpus pipeline: quality rules, toxicity, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table: the rows of docs that it keeps with the columns of
-documents, the last one the packing plan. Rows that a stage keeps are untouched. Null and empty texts fail the
-quality rules. An empty table passes through as an empty table.
+documents, the last one the packing plan. Rows that a stage keeps are untouched, extra columns included, whatever
+their names. Null and empty texts fail the quality rules. An empty table passes through as an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,26 +17,35 @@ from railspan.llm.common import small_batches, written
 
 #: Share of the tokens that mixing keeps, on average.
 MIX_FRACTION = 0.8
+_USED = ("doc_id", "text", "lang", "source")
+
+
+def _kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that decide() leaves. It sees the four columns that operators use; all others travel in one struct, out of reach of clashing names."""
+    rest = [c for c in docs.columns if c not in _USED]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []
+    left = decide(docs.select(*_USED, *carried))
+    return left.select(*[F.col(c) if c in _USED else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs).where("_kept").select(*docs.columns)
+    return _kept(docs, lambda d: quality_rules.judge(d).where("_kept"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = toxicity.train(docs, toxicity.labelled(spark, sf_dir, "toxic", 4, 2))
-    return toxicity.score(docs, model).where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return _kept(docs, lambda d: toxicity.score(d, model).where(F.col("_score") < toxicity.THRESHOLD))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
     dropped = near_dedup.link_components(docs.select("doc_id", "text"), k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return _kept(docs, lambda d: d.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, fraction=MIX_FRACTION).where("_drawn").select(*docs.columns)
+    return _kept(docs, lambda d: mixing.mix(d, fraction=MIX_FRACTION).where("_drawn"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
