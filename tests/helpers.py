@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+import pandas as pd
+
 DATA = "/root/testdata"
 
 
@@ -9,7 +11,7 @@ def rows_of(frame):
     """Rows as sorted tuples of text, columns by name; numbers at six digits."""
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         if isinstance(v, bool):
             return str(v)
