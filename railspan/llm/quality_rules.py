@@ -137,7 +137,9 @@ def judge(docs: DataFrame) -> DataFrame:
         within = within & (v <= F.col("_fences")[k])
     m = F.col("_m")
     failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    return judged.withColumn("_base_failed", failed).withColumn("_kept", ~failed & F.coalesce(within, F.lit(True))).drop("_lang", "_source", "_fences")
+    # One product, not a conjunction: a filter on _kept must not move below the join, where it would compute the counts again.
+    kept = F.when(failed, 0).otherwise(1) * F.when(F.coalesce(within, F.lit(True)), 1).otherwise(0) == 1
+    return judged.withColumn("_base_failed", failed).withColumn("_kept", kept).drop("_lang", "_source", "_fences")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
