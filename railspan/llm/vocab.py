@@ -1,25 +1,32 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memo of white-space-delimited chunks.
-
-Both vocabularies cut a text before each run of ASCII white space, whatever stands around it, so the ids of a
-text are the ids of its chunks (a run of white space and the word behind it) in turn. Each worker keeps the
-ids of chunks it has met; a full memo falls back to its oldest, and so commonest, entries. Chunks of Latin
-letters and plain marks go to the library's model directly as their pieces; all others go through its whole
-pipeline. Texts with other Unicode white space are encoded whole.
+"""Token ids of whole texts by the tokenizers library, with a bounded memo of pre-tokens.
+
+A text is cut at places where the vocabulary's own pre-tokenizer cuts, whatever stands around: a run of Latin
+letters (with the space before it), a run of plain marks, a single line break, and else everything up to the
+next ASCII white space. The ids of a text are the ids of its pieces in turn. Each worker keeps the ids of pieces
+it has met; a full memo falls back to its oldest, and so commonest, entries. Pieces that are one pre-token go to
+the library's model directly, many in a call; all others go through its whole pipeline. Texts with other Unicode
+white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Chunks a worker remembers, and those it keeps when the memo is full.
-MEMO, CORE = 400_000, 120_000
+#: Pieces a worker remembers, and those it keeps when the memo is full.
+MEMO, CORE = 800_000, 250_000
+#: Pre-tokens in one call of the model.
+JOINED = 500
 
-_CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -​    　﻿]")
-_PLAIN = re.compile(rb"([\x20\n]?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]*)")
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"
+_MARKS = rb"[.,!?;:]++(?![^\x20\x09-\x0DA-Za-z0-9])"
+_PIECE = re.compile(rb"\x20?" + _LETTERS + rb"|\x20?" + _MARKS + rb"|\n(?=[^\x20\x09-\x0D])|[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+_WORD_PIECE = re.compile(_LETTERS + rb"|" + _MARKS + rb"|[^\x20\x09-\x0D]+")
+_PLAIN = re.compile(rb"\x20?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,!?;:]+)")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,78 +41,84 @@ class Encoder:
     def __init__(self, path: str, lower_words: bool) -> None:
         """lower_words: the vocabulary folds case and drops white space (and its words have an end mark)."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.piece = Tokenizer(self.whole.model)
+        self.piece.pre_tokenizer = pre_tokenizers.Split("Ċ", "isolated")  # the letter of the line break, which no plain piece holds
+        self.part = np.uint32(self.piece.encode("Ċ", add_special_tokens=False).ids[0])
         self.lower_words = lower_words
         self.letters = _byte_letters()
         self.at: dict[bytes, int] = {}
         self.bounds = np.zeros(MEMO + 1, np.int64)
         self.ids = np.zeros(1 << 20, np.uint32)
 
-    def _pieces(self, chunk: bytes) -> list[str] | None:
-        """The pre-tokens of a plain chunk in byte letters; None if the chunk isn't plain."""
-        m = _PLAIN.fullmatch(chunk)
-        if not m:
-            return None
-        space, word, marks = m.groups()
-        if self.lower_words:
-            parts = [word.decode().lower().encode(), marks]
-        else:
-            parts = [space + word, marks] if space != b"\n" else [space, word, marks]
-        return [x.decode("latin-1").translate(self.letters) for x in parts if x]
-
-    def _ids_of(self, chunks: list[bytes]) -> list[list[int]]:
-        plain = [self._pieces(c) for c in chunks]
-        parts = iter(self.piece.encode_batch_fast([x for p in plain if p is not None for x in p], add_special_tokens=False))
-        others = iter(self.whole.encode_batch_fast([c.decode() for c, p in zip(chunks, plain, strict=True) if p is None], add_special_tokens=False))
-        out = []
-        for p in plain:
-            if p is None:
-                out.append(next(others).ids)
-            elif len(p) == 1:
-                out.append(next(parts).ids)
-            else:
-                out.append([i for _ in p for i in next(parts).ids])
-        return out
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.at) + len(chunks) > MEMO:
+    def _model_ids(self, plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single pre-tokens, and how many each has."""
+        calls = []
+        for i in range(0, len(plain), JOINED):
+            text = b"\n".join(plain[i : i + JOINED]) + b"\n"
+            if self.lower_words:
+                text = text.decode().lower().encode()
+            calls.append(text.decode("latin-1").translate(self.letters))
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.piece.encode_batch_fast(calls, add_special_tokens=False)])
+        parts = np.flatnonzero(ids == self.part)
+        return np.delete(ids, parts), np.diff(parts, prepend=-1) - 1
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.at) + len(new) > MEMO:
             self.at = {c: i for c, i in self.at.items() if i < CORE}
-        if len(self.at) + len(chunks) > MEMO:  # one batch with more new chunks than the memo holds
-            self.bounds = np.concatenate([self.bounds, np.zeros(len(chunks), np.int64)])
-        got = self._ids_of(chunks)
         n = len(self.at)
-        ends = self.bounds[n] + np.cumsum([len(x) for x in got])
+        if n + len(new) >= len(self.bounds):  # one batch with more new pieces than the memo holds
+            self.bounds = np.concatenate([self.bounds[: n + 1], np.zeros(len(new), np.int64)])
+        is_plain = list(map(_PLAIN.fullmatch, new))
+        plain = [c for c, p in zip(new, is_plain, strict=True) if p]
+        other = [c for c, p in zip(new, is_plain, strict=True) if not p]
+        parts, counts = [], []
+        if plain:
+            ids, count = self._model_ids(plain)
+            parts.append(ids)
+            counts.append(count)
+        if other:
+            got = [e.ids for e in self.whole.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)]
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids = np.concatenate(parts)
+        ends = self.bounds[n] + np.cumsum(np.concatenate(counts))
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(int(ends[-1]) - len(self.ids), len(self.ids) // 2), np.uint32)])
-        self.ids[self.bounds[n] : ends[-1]] = np.fromiter((i for x in got for i in x), np.uint32, int(ends[-1] - self.bounds[n]))
-        self.bounds[n + 1 : n + 1 + len(got)] = ends
-        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.ids[self.bounds[n] : ends[-1]] = ids
+        self.bounds[n + 1 : n + 1 + len(new)] = ends
+        self.at.update(zip(chain(plain, other), range(n, n + len(new))))
 
-    def _chunks(self, text: bytes) -> list[bytes]:
-        return text.split() if self.lower_words else _CHUNK.findall(text)
+    def _numbers(self, flat: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        each = [self._chunks(t) for t in texts]
         odd: dict[int, np.ndarray] = {}
-        if not self.lower_words:
-            for i, t in enumerate(texts):
-                if not t.isascii() and _ODD_SPACE.search(t.decode()) or t.isascii() and _ODD_SPACE.search(t.decode("ascii")):
-                    odd[i] = np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
-                    each[i] = []
-        flat = [c for e in each for c in e]
-        new = [c for c in dict.fromkeys(flat) if c not in self.at]
-        if new:
+        each = []
+        for i, t in enumerate(texts):
+            if self.lower_words:
+                each.append(_WORD_PIECE.findall(t.lower()))  # ASCII only, as the vocabulary would
+            elif _ODD_SPACE.search(t.decode()):
+                odd[i] = np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
+                each.append([])
+            else:
+                each.append(_PIECE.findall(t))
+        flat = list(chain.from_iterable(each))
+        k = self._numbers(flat)
+        if len(new := np.flatnonzero(k < 0)):
+            unknown = list(map(flat.__getitem__, new.tolist()))
             before = len(self.at)
-            self._learn(new)
-            if len(self.at) < before + len(new):  # entries went
-                lost = [c for c in dict.fromkeys(flat) if c not in self.at]
-                if lost:
-                    self._learn(lost)
-        k = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+            self._learn(list(dict.fromkeys(unknown)))
+            if len(self.at) > before:
+                k[new] = self._numbers(unknown)
+            else:
+                k = self._numbers(flat)
+            if len(lost := np.flatnonzero(k < 0)):  # the memo was cut down to its core
+                self._learn(list(dict.fromkeys(map(flat.__getitem__, lost.tolist()))))
+                k = self._numbers(flat)
         first, n = self.bounds[k], self.bounds[k + 1] - self.bounds[k]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
