@@ -175,7 +175,7 @@ def g11(t: Tables) -> DataFrame:
     return d.withColumn("headway", F.when(F.col("density") >= 8, 300).when(F.col("density") >= 4, 600).when(F.col("density") >= 1, 1200).otherwise(3600))
 
 
-@query("g12_tiles_with_halo", "SELECT tx, ty, count_if(core) AS core, count(*) AS with_halo FROM (SELECT tx, ty, x >= tx * 16 AND x < tx * 16 + 16 AND y >= ty * 16 AND y < ty * 16 + 16 AS core FROM cells JOIN (SELECT a AS tx, b AS ty FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b)) ON x >= tx * 16 - 2 AND x < tx * 16 + 18 AND y >= ty * 16 - 2 AND y < ty * 16 + 18) GROUP BY tx, ty")
+@query("g12_tiles_with_halo", "SELECT tx, ty, CAST(count_if(core) AS BIGINT) AS core, count(*) AS with_halo FROM (SELECT tx, ty, x >= tx * 16 AND x < tx * 16 + 16 AND y >= ty * 16 AND y < ty * 16 + 16 AS core FROM cells JOIN (SELECT a AS tx, b AS ty FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b)) ON x >= tx * 16 - 2 AND x < tx * 16 + 18 AND y >= ty * 16 - 2 AND y < ty * 16 + 18) GROUP BY tx, ty")
 def g12(t: Tables) -> DataFrame:
     """Tiles with a margin: each node goes to its tile and the tiles whose margin holds it."""
     c = t.cells.withColumn("tx", F.explode(F.expr("array_distinct(array(floor((x - 2) / 16), floor(x / 16), floor((x + 2) / 16)))")))
