@@ -271,7 +271,7 @@ def q05(t: Tables) -> DataFrame:
 LOG = "SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM rides WHERE user_id % 10 = 3"
 
 
-@query("w17_rate_limit", f"WITH RECURSIVE l AS MATERIALIZED ({LOG}), r AS (SELECT user_id, event_id, n, [us] AS held, true AS accepted FROM l WHERE n = 1 UNION ALL SELECT l.user_id, l.event_id, l.n, CASE WHEN len(list_filter(held, lambda h: h > us - 864000 * 1000000)) < 2 THEN list_append(list_filter(held, lambda h: h > us - 864000 * 1000000), us) ELSE list_filter(held, lambda h: h > us - 864000 * 1000000) END, len(list_filter(held, lambda h: h > us - 864000 * 1000000)) < 2 FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1) SELECT event_id, user_id, accepted FROM r")
+@query("w17_rate_limit", f"WITH RECURSIVE l AS MATERIALIZED ({LOG}), r AS (SELECT user_id, event_id, n, [us] AS held, true AS accepted FROM l WHERE n = 1 UNION ALL SELECT l.user_id, l.event_id, l.n, CASE WHEN len(list_filter(held, lambda h: h > us - 864000000000)) < 2 THEN list_append(list_filter(held, lambda h: h > us - 864000000000), us) ELSE list_filter(held, lambda h: h > us - 864000000000) END, len(list_filter(held, lambda h: h > us - 864000000000)) < 2 FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1) SELECT event_id, user_id, accepted FROM r")
 def w17(t: Tables) -> DataFrame:
     """Calls under a sliding limit in which refused calls don't count (W17, Q08); the stream form is streaming.limiter."""
     return graph.limited(t.rides.where("user_id % 10 = 3"), 2, 864000)
