@@ -57,3 +57,34 @@ def test_sketches_merge_by_adding(docs):
     whole = {tuple(r) for r in quality_rules.sketches(measured).collect()}
     parts = quality_rules.sketches(measured.where("doc_id % 2 = 0")).union(quality_rules.sketches(measured.where("doc_id % 2 = 1")))
     assert whole == {tuple(r) for r in parts.groupBy("lang", "source", "metric", "bucket").agg({"n": "sum"}).collect()}
+
+
+def test_fences_follow_each_group(spark):
+    """On the driver tables fences differ between groups, and they, not fixed numbers, decide verdicts beyond the base rule."""
+    d = quality_rules.judge(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).select("doc_id", "lang", "source", "_fences", "_base_failed", "_kept").toPandas()
+    for k in ("symbols", "repeats", "capitals", "word_length"):
+        assert d["_fences"].map(lambda f, k=k: f[k]).nunique() > 10, k
+    assert (~d["_kept"] & ~d["_base_failed"]).sum() > 10 and d["_kept"].mean() > 0.7
+
+
+def test_a_group_moves_its_own_verdicts(spark):
+    """The same text passes where its group writes like it, and fails where the group doesn't."""
+    plain = " ".join(f"word{i} and more" for i in range(20))
+    loud = " ".join(f"WORD{i} and more" for i in range(20))
+    rows = [(i, f"{plain} {i}", "en", "calm") for i in range(400)] + [(1000 + i, f"{plain if i % 2 else loud} {i}", "en", "loud") for i in range(400)]
+    rows += [(5000, loud, "en", "calm"), (5001, loud, "en", "loud")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[5000]._kept and got[5001]._kept
+    assert got[5000]._fences["capitals"] < got[5001]._fences["capitals"]
+
+
+def test_small_groups_lean_on_their_parents(spark):
+    """A group's fence tends to its own quartiles as it grows, without a step."""
+    base = [("en", "big", "m", 10, 400), ("en", "big", "m", 20, 400)]
+    before = None
+    for n in (1, 10, 50, 200, 5000):
+        sketch = spark.createDataFrame([*[(a, b, k, x, c) for a, b, _, x, c in base for k in quality_rules._buckets()], *[("en", "own", k, 100, n) for k in quality_rules._buckets()]], "lang string, source string, metric string, bucket long, n long")
+        own = quality_rules.thresholds(sketch).where("_source = 'own'").first()._fences["capitals"]
+        assert before is None or own != before
+        before = own
+    assert before > 100
