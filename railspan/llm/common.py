@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master without one gets a folder of its own; a cluster without one is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="railspan-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -40,7 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; a lost executor then costs no recomputation of what precedes."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -87,21 +98,11 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 _IS_WS = np.zeros(256, dtype=bool)
 _IS_WS[[0x20, *range(0x09, 0x0E)]] = True
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 2**64))
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_pw = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pw, _inv
-    if len(_pw) < n:
-        n = max(n, 1 << 16)
-        _pw, _inv = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, p, np.uint64))]) for p in (_P, _P_INV))
-    return _pw, _inv
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+_NEAR = 64
+_CODES = mix64((np.arange(_NEAR * 256, dtype=np.uint64) + np.uint64(1)) * _KEY)
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
 
 
 #: Bytes that separate alphanumeric tokens: ASCII but digits and letters.
@@ -126,9 +127,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte ranges, by prefix sums of a polynomial over random byte codes."""
-    pw, inv = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * pw[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte ranges: the sum of a random code for each (place in the range, byte), finished with the length.
+
+    Codes of different places are unrelated, so no order of bytes cancels out.
+    """
+    size = ends - starts
+    total = int(size.sum())
+    if not total:
+        return np.zeros(len(starts), np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(total) - np.repeat(first, size)
+    byte = data[place + np.repeat(starts, size)]
+    if lower:
+        byte = _LOW[byte]
+    at = place * 256 + byte
+    if int(size.max()) <= _NEAR:
+        code = _CODES[at]
+    else:
+        code = mix64((at.astype(np.uint64) + np.uint64(1)) * _KEY)
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(code, out=sums[1:])
+    return mix64(sums[first + size] - sums[first] + size.astype(np.uint64))
