@@ -29,26 +29,32 @@ def _kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFram
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay that pass the base rule and their group's fences; null and empty texts and texts under 20 words go. Repeated rows are judged alike."""
     return _kept(docs, lambda d: quality_rules.judge(d).where("_kept"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents under the threshold stay; the model learns from the labels of sf_dir that training may see. Null and empty texts and all texts without a model stay."""
     small_batches(spark)
     model = toxicity.train(docs, toxicity.labelled(spark, sf_dir, "toxic", 4, 2))
     return _kept(docs, lambda d: toxicity.score(d, model).where(F.col("_score") < toxicity.THRESHOLD))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    dropped = near_dedup.link_components(docs.select("doc_id", "text"), k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return _kept(docs, lambda d: d.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    """One document of each group of near copies stays, that of least doc_id: five-word shingles, similarity of 0.8 or more.
+
+    Repeated rows are copies too. Texts without words stay.
+    """
+    return _kept(docs, lambda d: near_dedup.one_of_each(d, k=5, percent=80))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by the raked weights stay; null lang or source is a value of its own, repeated rows are drawn alike."""
     return _kept(docs, lambda d: mixing.mix(d, fraction=MIX_FRACTION).where("_drawn"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing plan of every row: null texts are one end id, repeated rows are packed once each."""
     import public_tokenizers
 
     small_batches(spark)
