@@ -32,19 +32,31 @@ def kind_of(name: Column, companies: list[str] | None = None) -> Column:
     return out
 
 
-def clean_station_name(name: Column, rounds: int = 3) -> Column:
-    """A station's name without platform, exit, direction and language tails. The rounds reach the fixpoint of doubled tails."""
-    n = F.coalesce(name, F.lit(""))
-    for _ in range(rounds):
-        n = F.trim(F.regexp_replace(F.trim(n), BRACKETS, ""))
-        n = F.trim(F.regexp_replace(n, PLATFORM_TAIL, ""))
-        n = F.when(n.rlike(DIRECTION_SIGN), F.regexp_extract(n, DIRECTION_SIGN, 1)).when(n.endswith("方面"), "").otherwise(n)
-        n = F.trim(F.get(F.split(n, ";"), F.lit(0)))
-        n = F.trim(F.regexp_replace(n, STATION_TAIL, ""))
-        n = F.trim(F.regexp_replace(n, NUMBER_TAIL, ""))
-        n = F.when(n.endswith("駅") & (F.length(n) > 1), F.substring(n, F.lit(1), F.length(n) - 1)).otherwise(n)
-        n = F.trim(F.regexp_replace(n, KOREAN_TAIL, ""))
-    return n
+def _bound(value: Column, body) -> Column:
+    """body(value) with value written once in the plan, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _without_direction(n: Column) -> Column:
+    return F.when(n.rlike(DIRECTION_SIGN), F.regexp_extract(n, DIRECTION_SIGN, 1)).when(n.endswith("方面"), "").otherwise(n)
+
+
+def _without_suffix(n: Column) -> Column:
+    return F.when(n.endswith("駅") & (F.length(n) > 1), F.substring(n, F.lit(1), F.length(n) - 1)).otherwise(n)
+
+
+def _clean_once(n: Column) -> Column:
+    for tail in (BRACKETS, PLATFORM_TAIL):
+        n = F.trim(F.regexp_replace(F.trim(n), tail, ""))
+    n = F.trim(F.get(F.split(_bound(n, _without_direction), ";"), F.lit(0)))
+    for tail in (STATION_TAIL, NUMBER_TAIL):
+        n = F.trim(F.regexp_replace(n, tail, ""))
+    return F.trim(F.regexp_replace(_bound(n, _without_suffix), KOREAN_TAIL, ""))
+
+
+def clean_station_name(name: Column, rounds: int = 8) -> Column:
+    """A station's name without platform, exit, direction and language tails. The rounds reach the fixpoint of repeated tails; the plan holds one round, whatever their number."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.coalesce(name, F.lit("")), lambda n, _: _clean_once(n))
 
 
 def base_name(name: Column) -> Column:

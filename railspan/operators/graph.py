@@ -41,12 +41,18 @@ def chains(pointers: DataFrame, most_rounds: int = 24) -> DataFrame:
         j = s.join(up, F.col("head") == F.col("u"))
         return j.select("node", F.col("uh").alias("head"), (F.col("pos") + F.when(F.col("head") == F.col("node"), 0).otherwise(F.col("up"))).alias("pos"), (F.col("done") | F.col("ud")).alias("done"), (~F.col("done") & F.col("ud")).alias("moved"))
 
-    state = cut(start)
-    for _ in range(most_rounds):  # a round may finish no run and still shorten the way of the longer ones
+    state, idle = cut(start), 0
+    for _ in range(most_rounds):  # a round may finish no run and still shorten the way of the longer ones; a cycle never ends
         new = cut(step(state))
+        if new.where("not done").isEmpty():
+            state = new.drop("moved")
+            break
+        idle = idle + 1 if new.where("moved").isEmpty() else 0
         state = new.drop("moved")
-        if new.where("not done").isEmpty() or new.where("moved").isEmpty() and _ > 8:
+        if idle > 8:
             break
+    else:
+        raise RuntimeError(f"runs are longer than {most_rounds} doublings")
     return state.select("node", F.when(F.col("done"), F.col("head")).otherwise(F.col("node")).alias("head"), F.when(F.col("done"), F.col("pos")).otherwise(0).alias("pos"))
 
 

@@ -103,7 +103,7 @@ def z06(t: Tables) -> DataFrame:
     return d.select("a", "b", F.round(F.when(F.col("along").between(0.9 * F.col("m"), 2.0 * F.col("m")), F.col("along")).otherwise(F.col("m") * 1.15), 3).alias("length"))
 
 
-@query("z11_resample", "SELECT c.cell, f.land FROM cells AS c JOIN cells AS f ON f.x = c.x // 2 AND f.y = c.y // 2")
+@query("z11_resample", "SELECT c.cell, f.land FROM (SELECT cell, x // 2 AS fx, y // 2 AS fy FROM cells) AS c JOIN cells AS f ON f.x = c.fx AND f.y = c.fy")
 def z11(t: Tables) -> DataFrame:
     """A raster read through another grid's rows and columns."""
     f = t.cells.select(F.col("x").alias("fx"), F.col("y").alias("fy"), "land")
@@ -205,14 +205,25 @@ def g14(t: Tables) -> DataFrame:
     return folds.by_group(d, "region", ["trip"], fold, "region bigint, trip bigint, skeleton bigint")
 
 
-@query("r05_through_route")
+ROUTES = {"a": [0, 1, 2, 3, 4], "b": [3, 4, 5, 6], "c": [6, 7, 0]}
+
+
+@query(
+    "r05_through_route",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT trip, seq, stop % 8 AS s FROM events WHERE trip % 20 = 1),
+p AS MATERIALIZED (SELECT * FROM (VALUES {", ".join(f"('{n}', {s}, {i})" for n, own in ROUTES.items() for i, s in enumerate(own))}) AS v(line, s, pos)),
+e AS MATERIALIZED (SELECT trip, seq, d.s, line, pos, lag(d.s) OVER (PARTITION BY trip, line ORDER BY seq) AS unused FROM d JOIN p ON p.s = d.s),
+r AS (SELECT trip, seq, s, line, pos, CAST(0 AS BIGINT) AS dir, 0 AS changes, 0 AS bare, CAST(line <> 'a' AS INTEGER) AS off, line AS route FROM e WHERE seq = 1
+  UNION ALL SELECT e.trip, e.seq, e.s, e.line, e.pos, CASE WHEN e.line = r.line THEN sign(e.pos - r.pos) ELSE 0 END, r.changes + CAST(e.line <> r.line AS INTEGER),
+    r.bare + CAST(e.line <> r.line AND NOT EXISTS (SELECT 1 FROM p WHERE p.line = r.line AND p.s = e.s) AND NOT EXISTS (SELECT 1 FROM p WHERE p.line = e.line AND p.s = r.s) AS INTEGER), r.off + CAST(e.line <> 'a' AS INTEGER), r.route || e.line
+  FROM r JOIN e ON e.trip = r.trip AND e.seq = r.seq + 1 WHERE e.line <> r.line OR (e.pos <> r.pos AND r.dir IN (0, sign(e.pos - r.pos))))
+SELECT n.trip, arg_min(r.route, (r.changes, r.bare, r.off, r.route)) AS route FROM (SELECT trip, max(seq) AS seq FROM d GROUP BY trip) AS n LEFT JOIN r ON r.trip = n.trip AND r.seq = n.seq GROUP BY n.trip""",
+)
 def r05(t: Tables) -> DataFrame:
     """Lines of a service's stops with the fewest changes."""
     d = t.events.where("trip % 20 = 1").select("trip", "seq", (F.col("stop") % 8).alias("s"))
-    lines = {"a": [0, 1, 2, 3, 4], "b": [3, 4, 5, 6], "c": [6, 7, 0]}
-
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        got = folds.fewest_changes(p["s"].tolist(), lines, "a")
+        got = folds.fewest_changes(p["s"].tolist(), ROUTES, "a")
         return pd.DataFrame({"trip": [p["trip"].iloc[0]], "route": ["".join(got) if got else None]})
 
     return folds.by_group(d, "trip", ["seq"], fold, "trip bigint, route string")

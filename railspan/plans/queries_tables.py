@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from ..operators import sequences as S
 from ..registry import query
 from ..sources.bindings import BUDGET, DEPART, Tables
 from . import raptor
+from .fixpoint import shared_folder
 
 DEADLINE = DEPART + BUDGET
 
@@ -73,8 +73,7 @@ def s20(t: Tables) -> DataFrame:
 
 def _round_trip(df: DataFrame, kind: str, *by: str) -> DataFrame:
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="railspan-")
-    path = f"{base}/sink-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
     df.write.format(kind).partitionBy(*by).save(path) if by else df.write.format(kind).save(path)
     return spark.read.schema(df.schema).format(kind).load(path)
 

@@ -1,13 +1,18 @@
 """Earliest arrivals by trains and walking, in rounds (a label-correcting search over the timetable).
 
-A round boards every trip at its first boardable event, alights at all later events of the trip, keeps the
-least arrival of each stop, and walks one transfer. Events outside the time window are filtered before the
-first round; the events are partitioned by trip once, and later rounds only join the labels, which are few,
-to them.
+A round starts from the stops whose label changed in the round before: trips that can be boarded there are
+boarded at the first such event, passengers alight at all later events of those trips and walk one transfer,
+and the least arrival of each stop stays. Events outside the time window are filtered before the first round.
+A window of few rows is searched in one task over arrays; a larger one is kept twice, by stop for boarding and by trip for riding, so a round shuffles labels and trips
+boarded, not the events.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +21,8 @@ from .fixpoint import cut, fixpoint
 
 #: Seconds between arriving at a stop and boarding there, and rounds at most.
 CHANGE, ROUNDS = 60, 12
+#: Rows of a time window, events and transfers, that one task may hold (about 50 bytes each).
+TASK_ROWS = 4_000_000
 
 
 def initial_labels(access: DataFrame, depart: int, limit: float, deadline: int) -> DataFrame:
@@ -47,17 +54,78 @@ def relax_transfers(best: DataFrame, transfers: DataFrame, deadline: int) -> Dat
 
 def earliest_arrivals(events: DataFrame, transfers: DataFrame, access: DataFrame, depart: int, deadline: int, limit: float, rounds: int = ROUNDS) -> DataFrame:
     """(stop, best): the earliest arrival at every stop reached by the deadline."""
-    ev = cut(events.select("trip", "seq", "stop", "arr", "dep").where((F.col("dep") >= depart) & (F.col("arr") <= deadline)).repartition("trip"))
-    tr = cut(transfers)
-    start = cut(relax_transfers(initial_labels(access, depart, limit, deadline), tr, deadline))
-
-    def step(best: DataFrame) -> DataFrame:
-        merged = best.unionByName(alight(board(ev, best, deadline), deadline)).groupBy("stop").agg(F.min("best").alias("best"))
-        new = relax_transfers(merged, tr, deadline)
-        old = best.select(F.col("stop").alias("o"), F.col("best").alias("b"))
-        return new.join(old, F.col("stop") == F.col("o"), "left").select("stop", "best", (F.col("b").isNull() | (F.col("best") < F.col("b"))).alias("moved"))
-
-    return fixpoint(start, step, rounds)
+    ev = cut(events.select("trip", "seq", "stop", "arr", "dep").where((F.col("dep") >= depart) & (F.col("arr") <= deadline)))
+    walks = cut(transfers.select("src", "dst", "cost"))
+    start = relax_transfers(initial_labels(access, depart, limit, deadline), walks, deadline)
+    # a window of a checked size is searched in one task, as a small side is broadcast
+    if ev.count() + walks.count() <= TASK_ROWS:
+        return _in_one_task(ev, walks, start, deadline, rounds)
+    return _in_rounds(ev, walks, start, deadline, rounds)
+
+
+def _in_one_task(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: int, rounds: int) -> DataFrame:
+    """The rounds over arrays in one task, for a window of TASK_ROWS rows at most."""
+    none = F.lit(None).cast("bigint")
+    rows = ev.select(F.lit(0).alias("kind"), "trip", F.col("seq").cast("bigint"), "stop", "arr", "dep")
+    rows = rows.unionAll(walks.select(F.lit(1), "src", "dst", F.col("cost").cast("bigint"), none, none)).unionAll(start.select(F.lit(2), "stop", "best", none, none, none))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        kind = t["kind"].to_numpy()
+        of = lambda k, n: [c.filter(pa.array(kind == k)).to_numpy() for c in t.columns[1 : n + 1]]
+        trip, seq, stop, arr, dep = of(0, 5)
+        src, dst, cost = of(1, 3)
+        first, since = of(2, 2)
+        order = np.lexsort((seq, trip))
+        trip, stop, arr, dep = trip[order], stop[order], arr[order], dep[order]
+        names, at = np.unique(np.concatenate([stop, src, dst, first]), return_inverse=True)
+        stop, src, dst, first = np.split(at, np.cumsum([len(stop), len(src), len(dst)]))
+        never = np.iinfo(np.int64).max // 2
+        best = np.full(len(names), never)
+        np.minimum.at(best, first, since)
+        head = np.searchsorted(trip, trip)  # where each event's trip begins
+        for _ in range(rounds):
+            on = np.concatenate([[0], np.cumsum((best[stop] + CHANGE <= dep) & (dep <= deadline))])
+            ride = (on[:-1] > on[head]) & (arr <= deadline)
+            new = best.copy()
+            np.minimum.at(new, stop[ride], arr[ride])
+            walked = new[src] + cost
+            near = walked <= deadline
+            np.minimum.at(new, dst[near], walked[near])
+            if (new == best).all():
+                break
+            best = new
+        got = best < never
+        yield pa.RecordBatch.from_arrays([pa.array(names[got]), pa.array(best[got])], names=["stop", "best"])
+
+    return cut(rows.coalesce(1).mapInArrow(run, "stop bigint, best bigint"))
+
+
+def _in_rounds(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: int, rounds: int) -> DataFrame:
+    """The rounds as joins of what changed with the events by stop and by trip."""
+    by_stop = ev.select("stop", "trip", "seq", "dep").repartition("stop").persist()
+    by_trip = ev.select("trip", F.col("seq").alias("at"), F.col("stop").alias("to"), "arr").repartition("trip").persist()
+    walks = walks.repartition("src").persist()
+    start = start.withColumn("moved", F.lit(True))
+
+    def step(labels: DataFrame) -> DataFrame:
+        fresh = labels.where("moved").select("stop", "best")
+        boarded = fresh.join(by_stop, "stop").where(boardable(F.col("best"), F.col("dep"), deadline)).groupBy("trip").agg(F.min("seq").alias("first"))
+        rides = boarded.join(by_trip, "trip").where("at > first").groupBy(F.col("to").alias("stop")).agg(F.min("arr").alias("best"))
+        open_ = fresh.unionByName(rides)
+        walked = open_.join(walks, F.col("stop") == F.col("src")).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("best")).where(F.col("best") <= deadline)
+        found = labels.select("stop", "best", F.col("best").alias("old")).unionByName(rides.unionByName(walked).withColumn("old", F.lit(None).cast("bigint")))
+        new = found.groupBy("stop").agg(F.min("best").alias("best"), F.min("old").alias("old"))
+        return new.select("stop", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("moved"))
+
+    try:
+        return fixpoint(cut(start), step, rounds, keep_moved=True, strict=False)
+    finally:
+        for kept in (by_stop, by_trip, walks):
+            kept.unpersist()
 
 
 def restrict(events: DataFrame, keep: DataFrame, drop_trips: DataFrame | None = None) -> DataFrame:

@@ -32,8 +32,9 @@ VIEWS = {
     "transfers": """SELECT a AS src, b AS dst, CAST(round_even(greatest(300, 90 + 1.25 * m / (80.0 / 60)), 0) AS BIGINT) AS cost FROM near
   UNION ALL SELECT b, a, CAST(round_even(greatest(300, 90 + 1.25 * m / (80.0 / 60)), 0) AS BIGINT) FROM near""",
     "access": f"""SELECT stop, sqrt(pow((lon - {ORIGIN_LON}) * {KX}, 2) + pow((lat - {ORIGIN_LAT}) * {KY}, 2)) * 1.3 / (80.0 / 60) AS sec FROM stops""",
-    "cells": f"""SELECT x, y, x * 1000 + y AS cell, ((x * 31 + y * 17) % 7 <> 0) AS land FROM (SELECT unnest(range(0, {2 * GRID})) AS x), (SELECT unnest(range(0, {2 * GRID})) AS y)""",
-    "walk_edges": """SELECT a.cell AS src, b.cell AS dst, CAST(60 + (a.x * 7 + a.y * 13 + b.x * 7 + b.y * 13) % 50 AS BIGINT) AS sec FROM cells AS a JOIN cells AS b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND a.land AND b.land""",
+    "cells": f"""SELECT x, y, x * 1000 + y AS cell, ((x * 31 + y * 17) % 7 <> 0) AS land FROM (SELECT i % {2 * GRID} AS x, i // {2 * GRID} AS y FROM (SELECT unnest(range(0, {4 * GRID * GRID})) AS i))""",
+    "walk_edges": """SELECT a.cell AS src, b.cell AS dst, CAST(60 + (a.x * 7 + a.y * 13 + b.x * 7 + b.y * 13) % 50 AS BIGINT) AS sec
+  FROM (SELECT cell, x, y, x + dx AS nx, y + dy AS ny FROM cells, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy) WHERE land) AS a JOIN cells AS b ON b.x = a.nx AND b.y = a.ny AND b.land""",
     "rides": "SELECT event_id, user_id, event_type, value, ts FROM events_raw",
 }
 
