@@ -2,8 +2,9 @@
 
 A clip is 8-bit mono PCM in a RIFF/WAVE container at SOURCE_HZ. Features:
 
-- polyphase resampling by UP/DOWN to the feature rate: output m is the dot product of the input with phase
-  (m * DOWN) mod UP of a windowed-sinc filter, so zeros that upsampling would insert are never multiplied;
+- polyphase resampling by up/down from the clip's own rate to RATE: output m is the dot product of the input
+  with phase (m * down) mod up of a windowed-sinc filter, so zeros that upsampling would insert are never
+  multiplied;
 - log-mel filterbanks of overlapping Hann frames (FRAME samples every HOP);
 - segments of activity by hysteresis: a segment opens when the frame energy passes OPEN_DB and closes when
   it falls under CLOSE_DB, thresholds in dB over the clip's own floor.
@@ -13,39 +14,43 @@ gives a row for each block, tensor_array() the Arrow fixed-shape tensor column.
 processed in blocks of samples, so memory is bounded by the stored clip.
 
 A clip under one frame is filled up with silence; a clip without samples has no frame, block or segment;
-null clips give no tensor rows. Equal clips have equal features wherever they stand.
+null clips give no tensor rows. Null texts count as empty; null and repeated doc_ids keep a row each. Equal clips
+have equal features wherever they stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, texts_of
+from .common import slices, small_batches, table, texts_of, written
 
 SOURCE_HZ, UP, DOWN = 24_000, 2, 3
 RATE = SOURCE_HZ * UP // DOWN
 FRAME, HOP, FFT, MELS, BLOCK = 400, 160, 512, 40, 64
 OPEN_DB, CLOSE_DB = 6.0, 3.0
 PAD = 576
-_TAPS = 12  # of each phase
+_LOBES = 8  # of the filter, at the lower of both rates
 _CHUNK = 1 << 19
 
 
-def _filter() -> np.ndarray:
+@lru_cache(maxsize=32)
+def phases(up: int, down: int) -> np.ndarray:
     """[phase, tap] of the windowed-sinc low-pass at the lower of both Nyquist rates."""
-    n = UP * _TAPS
+    n = up * (-(-_LOBES * max(up, down) // (2 * up)) * 2)
     t = np.arange(n) - (n - 1) / 2
-    h = np.sinc(t / max(UP, DOWN)) * np.hanning(n + 2)[1:-1]
-    h *= UP / h.sum()
-    return np.stack([h[p::UP] for p in range(UP)]).astype(np.float32)
+    h = np.sinc(t / max(up, down)) * np.hanning(n + 2)[1:-1]
+    h *= up / h.sum()
+    return np.stack([h[p::up] for p in range(up)]).astype(np.float32)
 
 
 def _mels() -> np.ndarray:
@@ -57,7 +62,7 @@ def _mels() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).T.astype(np.float32)
 
 
-_PHASES, _MEL = _filter(), _mels()
+_MEL = _mels()
 _HANN = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
@@ -85,24 +90,23 @@ def samples_of(clip: bytes) -> tuple[bytes, int]:
     raise ValueError("no samples")
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase resampling of float samples by UP/DOWN; len(x) * UP // DOWN outputs."""
-    n = len(x) * UP // DOWN
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Polyphase resampling of float samples by up/down; len(x) * up // down outputs."""
+    n = len(x) * up // down
     if not n:
         return np.zeros(0, np.float32)
-    half = _TAPS // 2
-    padded = np.concatenate([np.zeros(half, np.float32), x, np.zeros(_TAPS, np.float32)])
+    bank = phases(up, down)
+    n_taps = bank.shape[1]
+    padded = np.concatenate([np.zeros(n_taps // 2, np.float32), x, np.zeros(n_taps, np.float32)])
     out = np.empty(n, np.float32)
-    for first in range(UP):  # outputs first, first + UP, ... share a phase
-        m = np.arange(first, n, UP)
-        if not len(m):
-            continue
-        start, phase = int(m[0]) * DOWN // UP, int(m[0]) * DOWN % UP
-        taps = _PHASES[phase][::-1]
-        acc = np.zeros(len(m), np.float32)
-        for k in range(_TAPS):
-            acc += taps[k] * padded[start + k + 1 : start + k + 1 + DOWN * len(m) : DOWN][: len(m)]
-        out[first::UP] = acc
+    for first in range(min(up, n)):  # outputs first, first + up, ... share a phase
+        count = -(-(n - first) // up)
+        start, phase = first * down // up, first * down % up
+        taps = bank[phase][::-1]
+        acc = np.zeros(count, np.float32)
+        for k in range(n_taps):
+            acc += taps[k] * padded[start + k + 1 : start + k + 1 + down * count : down][:count]
+        out[first::up] = acc
     return out
 
 
@@ -135,21 +139,24 @@ def hysteresis(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 def features(clip: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Log-mel frames and active segments (frame numbers) of a stored clip; long clips go through the filters in blocks."""
-    data, _ = samples_of(clip)
+    """Log-mel frames and active segments (frame numbers) of a stored clip at its own rate; long clips go through the filters in blocks."""
+    data, rate = samples_of(clip)
+    if rate <= 0:
+        raise ValueError("a clip without a rate")
+    up, down = RATE // math.gcd(RATE, rate), rate // math.gcd(RATE, rate)
     raw = np.frombuffer(data, np.uint8)
     if len(raw) <= _CHUNK:
-        mel, energy = log_mel(resample((raw.astype(np.float32) - 128) / 128))
+        mel, energy = log_mel(resample((raw.astype(np.float32) - 128) / 128, up, down))
         return mel, hysteresis(energy)
-    mels, energies, step = [], [], _CHUNK // (HOP * DOWN) * HOP * DOWN  # blocks begin on a frame
-    reach = (FRAME * DOWN // UP // DOWN + _TAPS) * DOWN
+    mels, energies, step = [], [], max(1, _CHUNK // (HOP * down)) * HOP * down  # blocks begin on a frame
+    reach = (FRAME // up + 1) * down + 2 * phases(up, down).shape[1]
     for a in range(0, len(raw), step):
-        lead = min(a, HOP * DOWN)
-        if a and len(raw) - a < FRAME * DOWN // UP:
+        lead = min(a, HOP * down)
+        if a and (len(raw) - a) * up // down < FRAME:
             break  # the rest is inside earlier frames
         x = (raw[a - lead : a + step + reach].astype(np.float32) - 128) / 128
-        y = resample(x)[lead * UP // DOWN :]
-        want = step * UP // DOWN // HOP if a + step < len(raw) else None
+        y = resample(x, up, down)[lead * up // down :]
+        want = step * up // down // HOP if a + step < len(raw) else None
         m, e = log_mel(y)
         mels.append(m[:want])
         energies.append(e[:want])
@@ -189,7 +196,7 @@ def tensors(clips: DataFrame) -> DataFrame:
                     frames = np.minimum(BLOCK, len(mel) - k * BLOCK)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(k), doc, np.int64)),
+                            pa.array([doc] * len(k), pa.int64()),
                             pa.array(k.astype(np.int32)),
                             pa.array(k * BLOCK * HOP / RATE),
                             pa.array(((k * BLOCK + frames - 1) * HOP + FRAME) / RATE),
@@ -220,7 +227,7 @@ def text_clips(docs: DataFrame) -> DataFrame:
 
 
 def digests(clips: DataFrame) -> DataFrame:
-    """Read the stored clips back: payload and media digests, and a digest of the features."""
+    """Read the stored clips back: payload and media digests, and a digest of the tensors and the segments' time spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
@@ -232,7 +239,7 @@ def digests(clips: DataFrame) -> DataFrame:
                 payload, _ = samples_of(clip)
                 mel, found = features(clip)
                 stored = tensor_array(blocks_of(mel)).to_numpy_ndarray() if len(mel) else np.zeros((0, BLOCK, MELS), np.float32)
-                spans = ",".join(f"{a}-{z}" for a, z in found)
+                spans = ",".join(f"{a * HOP / RATE:.2f}-{((z - 1) * HOP + FRAME) / RATE:.4f}" for a, z in found)
                 code = f"{len(mel)}x{MELS}:{zlib.crc32(np.round(stored, 2).astype('<f4').tobytes()):08x}:{len(found)}:{zlib.crc32(spans.encode()):08x}"
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(clip), hashlib.sha256(clip).hexdigest(), code, len(mel), len(found), sum(z - a for a, z in found) * HOP / RATE))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
@@ -242,4 +249,5 @@ def digests(clips: DataFrame) -> DataFrame:
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 250)
-    return digests(text_clips(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    clips = written(text_clips(table(spark, sf_dir, "documents").select("doc_id", "text")), "clips")
+    return digests(clips)

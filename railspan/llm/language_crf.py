@@ -1,20 +1,20 @@
 """Language of words and documents by a linear-chain conditional random field (operator 7).
 
 A word's emission score for a language sums learned weights of its features: byte trigrams with the white
-space around it (so its first and last letters are affix features), and the word itself as a hashed lexicon
-entry. A learned matrix scores the step from one word's language to the next. Forward-backward gives each
+space around it, its prefixes and suffixes of AFFIXES bytes, and the word itself as a hashed lexicon entry. A learned matrix scores the step from one word's language to the next. Forward-backward gives each
 word's posterior over the whole text: words are cut into blocks, a block's steps are multiplied to one
 matrix, blocks are chained per text, and posteriors are filled in block by block, all texts at once.
 
 A document's language is the one with most posterior mass over words with a letter; its score is that
-share. Training maximises the likelihood by AdaGrad on SAMPLE_DOCS documents of up to SAMPLE_CHARS characters
-at most, those of least hash, and on sequences spliced from runs of several documents, which show the
-transitions of code-switched text. Null texts and texts without a letter are `und` with score 0. Without
+share. Training maximises the likelihood by AdaGrad on SAMPLE_DOCS documents at most, those of least hash, of a
+longer one on SAMPLE_WORDS words from a place drawn by hash, and on sequences spliced from runs of several documents, which show the
+transitions of code-switched text. Of several rows of a doc_id one trains; all are predicted row by row. Null texts and texts without a letter are `und` with score 0. Without
 training rows every text is `und`.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, small_batches, table, texts_of, word_hashes, word_spans
 
-SAMPLE_DOCS, SAMPLE_CHARS = 1200, 20_000
-GRAM_BITS, WORD_BITS = 16, 16
+SAMPLE_DOCS, SAMPLE_WORDS = 1200, 4000
+GRAM_BITS, WORD_BITS = 16, 18
+AFFIXES = (2, 3, 4)
 EPOCHS, BATCH, RATE = 4, 60, 0.3
 STEPS = 32
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -48,6 +49,7 @@ class Words:
     grams: np.ndarray
     first: np.ndarray
     lexicon: np.ndarray
+    affixes: np.ndarray  # [words, 2 * len(AFFIXES)]; 0 where the word is no longer than the affix
     letters: np.ndarray
 
 
@@ -66,7 +68,28 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     first = np.cumsum(ends - starts) - (ends - starts)
     letters = np.add.reduceat(_LETTER[data[at]].astype(np.int32), first) > 0 if len(first) else np.zeros(0, bool)
     lexicon = (word_hashes(data, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    return Words(n, starts, ends, grams, first, lexicon, letters)
+    letters &= _spelled(data, starts, ends, letters)
+    size, affixes = ends - starts, np.zeros((len(starts), 2 * len(AFFIXES)), np.int64)
+    for k, long in enumerate(AFFIXES):
+        cut = np.minimum(size, long)
+        for side, h in enumerate((word_hashes(data, starts, starts + cut), word_hashes(data, ends - cut, ends))):
+            own = ((h ^ np.uint64(2 * k + side + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)
+            affixes[:, 2 * k + side] = np.where(size > long, np.maximum(1, own.astype(np.int64)), 0)
+    return Words(n, starts, ends, grams, first, lexicon, affixes, letters)
+
+
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """False for words whose only candidates for letters are characters beyond ASCII that are none, such as dashes and quotes."""
+    out = np.ones(len(starts), bool)
+    if len(starts) and (data >= 128).any():
+        plain = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
+        seen: dict[bytes, bool] = {}
+        for i in np.flatnonzero(letters & (plain[ends] == plain[starts])).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in seen:
+                seen[word] = any(c.isalpha() for c in word.decode("utf-8", "replace"))
+            out[i] = seen[word]
+    return out
 
 
 @dataclass
@@ -74,12 +97,15 @@ class Model:
     langs: list[str]
     gram: np.ndarray  # [2**GRAM_BITS, L]
     word: np.ndarray  # [2**WORD_BITS, L]
+    affix: np.ndarray  # [2**GRAM_BITS, L], row 0 stays 0
     step: np.ndarray  # [L, L], log scores
 
     def emissions(self, w: Words) -> np.ndarray:
         if not len(w.first):
             return np.zeros((0, len(self.langs)), np.float32)
         e = np.add.reduceat(self.gram[w.grams], w.first, axis=0) + self.word[w.lexicon]
+        for k in range(w.affixes.shape[1]):
+            e += self.affix[w.affixes[:, k]]
         e[~w.letters] = 0
         return e
 
@@ -161,7 +187,7 @@ def forward_backward(e: np.ndarray, n: np.ndarray, step: np.ndarray, pairs: bool
 
 def _fit(texts: list[bytes], y: np.ndarray, langs: list[str]) -> Model:
     size, rng = len(langs), np.random.default_rng(7)
-    model = Model(langs, np.zeros((1 << GRAM_BITS, size), np.float32), np.zeros((1 << WORD_BITS, size), np.float32), np.zeros((size, size), np.float32))
+    model = Model(langs, np.zeros((1 << GRAM_BITS, size), np.float32), np.zeros((1 << WORD_BITS, size), np.float32), np.zeros((1 << GRAM_BITS, size), np.float32), np.zeros((size, size), np.float32))
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     w = words_of(data, offsets)
     label = np.repeat(y, w.n)
@@ -176,7 +202,7 @@ def _fit(texts: list[bytes], y: np.ndarray, langs: list[str]) -> Model:
             runs.append(c[i : i + int(rng.integers(3, 31))])
         spliced.append(np.concatenate(runs))
     chains += spliced
-    square = [np.full_like(p, 1e-3) for p in (model.gram, model.word, model.step)]
+    square = [np.full_like(p, 1e-3) for p in (model.gram, model.word, model.affix, model.step)]
     length = w.ends - w.starts
     for _ in range(EPOCHS):
         order = rng.permutation(len(chains))
@@ -184,7 +210,7 @@ def _fit(texts: list[bytes], y: np.ndarray, langs: list[str]) -> Model:
             own = [chains[j] for j in order[i : i + BATCH]]
             k, n = np.concatenate(own), np.array([len(c) for c in own])
             bytes_ = np.repeat(w.first[k] - (np.cumsum(length[k]) - length[k]), length[k]) + np.arange(length[k].sum())
-            part = Words(n, w.starts[k], w.ends[k], w.grams[bytes_], np.cumsum(length[k]) - length[k], w.lexicon[k], w.letters[k])
+            part = Words(n, w.starts[k], w.ends[k], w.grams[bytes_], np.cumsum(length[k]) - length[k], w.lexicon[k], w.affixes[k], w.letters[k])
             post, pairs = forward_backward(model.emissions(part), n, model.step, True)
             g = post.astype(np.float64)
             g[np.arange(len(k)), label[k]] -= 1
@@ -195,8 +221,12 @@ def _fit(texts: list[bytes], y: np.ndarray, langs: list[str]) -> Model:
             np.add.at(seen, (label[k][:-1][inner[1:]], label[k][1:][inner[1:]]), 1)
             seen += np.bincount(label[k][~inner], minlength=size)[None, :] / size  # first words come from any
             of = np.repeat(np.arange(len(k)), length[k])
-            grads = [np.stack([np.bincount(part.grams, g[of, c], 1 << GRAM_BITS) for c in range(size)], 1), np.stack([np.bincount(part.lexicon, g[:, c], 1 << WORD_BITS) for c in range(size)], 1), pairs - seen]
-            for p, q, d in zip((model.gram, model.word, model.step), square, grads, strict=True):
+            grads = [np.stack([np.bincount(part.grams, g[of, c], 1 << GRAM_BITS) for c in range(size)], 1), np.stack([np.bincount(part.lexicon, g[:, c], 1 << WORD_BITS) for c in range(size)], 1)]
+            sides = part.affixes.shape[1]
+            grads.append(np.stack([np.bincount(part.affixes.reshape(-1), np.repeat(g[:, c], sides), 1 << GRAM_BITS) for c in range(size)], 1))
+            grads[-1][0] = 0
+            grads.append(pairs - seen)
+            for p, q, d in zip((model.gram, model.word, model.affix, model.step), square, grads, strict=True):
                 d = d / len(k) * 100 + 1e-4 * p
                 q += d * d
                 p -= (RATE * d / np.sqrt(q)).astype(np.float32)
@@ -205,12 +235,23 @@ def _fit(texts: list[bytes], y: np.ndarray, langs: list[str]) -> Model:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """docs (doc_id, text, lang): the model, fitted on sample_docs documents at most."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    got = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    one = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("r"))  # sample_docs rows
+
+    def excerpt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                words = text.split(" ")
+                at = zlib.crc32(text.encode()) % max(1, len(words) - SAMPLE_WORDS + 1)
+                out.append(" ".join(w[:SAMPLE_WORDS] for w in words[at : at + SAMPLE_WORDS]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], names=["doc_id", "text", "lang"])
+
+    got = one.select(F.col("doc_id").cast("bigint").alias("doc_id"), "r.text", "r.lang").mapInArrow(excerpt, "doc_id bigint, text string, lang string").toPandas().sort_values(["doc_id"])
     langs = sorted(got["lang"].unique())
     if not langs:
-        return Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0)))
+        return Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0)))
     return _fit([t.encode() for t in got["text"]], np.searchsorted(langs, got["lang"]).astype(np.int64), langs)
 
 
@@ -250,7 +291,7 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, row = b.column(0).to_numpy(zero_copy_only=False), 0
+            ids, row = b.column(0), 0
             for w, post, _ in _each(model, b.column(1)) if model.langs else ():
                 of = np.repeat(np.arange(len(w.n)), w.n)
                 own = np.flatnonzero(w.letters)
@@ -259,7 +300,7 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
                 data, offsets = texts_of(b.column(1).slice(row, len(w.n)))
                 base = offsets[:-1]
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(w.n) - w.n, w.n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + of[own]]), pa.array(nth[own]), pa.array(w.starts[own] - base[of[own]]), pa.array(w.ends[own] - base[of[own]]), pa.array([model.langs[c] for c in best], pa.string()), pa.array(post[own, best].astype(float))], names=["doc_id", "word", "start", "end", "lang", "probability"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + of[own])), pa.array(nth[own]), pa.array(w.starts[own] - base[of[own]]), pa.array(w.ends[own] - base[of[own]]), pa.array([model.langs[c] for c in best], pa.string()), pa.array(post[own, best].astype(float))], names=["doc_id", "word", "start", "end", "lang", "probability"])
                 row += len(w.n)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, word bigint, start bigint, end bigint, lang string, probability double")

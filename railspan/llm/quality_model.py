@@ -5,8 +5,9 @@ of byte classes, word length, words equal to the one before, and distinct words.
 and gated attention a = softmax(w . (tanh(V e) * sigmoid(U e))) are learned from document labels alone, by
 Adam on the log loss; the score is a logistic function of the attention-weighted passage vector.
 
-At most SAMPLE_DOCS labelled documents of up to SAMPLE_CHARS characters are used for fitting, those of least
-hash; every document is scored over its whole text. Null, empty and wordless texts are one passage of zeros.
+At most SAMPLE_DOCS labelled documents are used for fitting, those of least hash, each with BAG passages at most,
+drawn by a hash from its whole text; every document is scored over its whole text. Rows with a repeated or null
+doc_id are scored row by row. Null, empty and wordless texts are one passage of zeros.
 Without labels of both classes every score is the share of label 1 (0.5 without labels).
 """
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, small_batches, table, texts_of, word_hashes, word_spans
-from .toxicity import THRESHOLD, labelled
+from .toxicity import THRESHOLD, labelled, training_rows
 
 PASSAGE = 64
 HIDDEN, GATE = 24, 16
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 50_000
+SAMPLE_DOCS, BAG = 4000, 256
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-4
 
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "!", "?", "'\"", "|", "#*$%&", "<>"]
@@ -89,6 +90,18 @@ class Model:
         z = np.add.reduceat(a[:, None] * e, at)
         return 1 / (1 + np.exp(-(z @ w["c"] + w["d"][0]))), {"e": e, "t": t, "g": g, "a": a, "z": z}
 
+    def gradients(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Slopes of the mean log loss of bags with n passages each."""
+        w, at = self.w, np.cumsum(n) - n
+        p, k = self.forward(x, n)
+        dl = ((p - y) / len(n)).astype(w["c"].dtype)
+        dz = np.repeat(dl[:, None] * w["c"], n, axis=0)
+        da = (dz * k["e"]).sum(1)
+        ds = k["a"] * (da - np.repeat(np.add.reduceat(k["a"] * da, at), n))
+        dt, dg = ds[:, None] * w["a"] * k["g"] * (1 - k["t"] ** 2), ds[:, None] * w["a"] * k["t"] * k["g"] * (1 - k["g"])
+        dh = (k["a"][:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - k["e"] ** 2)
+        return {"W": ((x - self.mean) * self.scale).T @ dh, "b": dh.sum(0), "V": k["e"].T @ dt, "U": k["e"].T @ dg, "a": (k["t"] * k["g"]).T @ ds, "c": k["z"].T @ dl, "d": dl.sum(keepdims=True)}
+
     def score(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self.forward(x, n)[0] if self.w else np.full(len(n), self.rate)
 
@@ -111,17 +124,7 @@ def _fit(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Model:
             docs = order[i : i + BATCH]
             nb = n[docs]
             rows = np.repeat(first[docs] - (np.cumsum(nb) - nb), nb) + np.arange(nb.sum())
-            xb, w = x[rows], model.w
-            p, k = model.forward(xb, nb)
-            dl = ((p - y[docs]) / len(docs)).astype(np.float32)
-            dz = dl[:, None] * w["c"]
-            dzr = np.repeat(dz, nb, axis=0)
-            da = (dzr * k["e"]).sum(1)
-            ds = k["a"] * (da - np.repeat(np.add.reduceat(k["a"] * da, np.cumsum(nb) - nb), nb))
-            dt, dg = ds[:, None] * w["a"] * k["g"] * (1 - k["t"] ** 2), ds[:, None] * w["a"] * k["t"] * k["g"] * (1 - k["g"])
-            de = k["a"][:, None] * dzr + dt @ w["V"].T + dg @ w["U"].T
-            dh = de * (1 - k["e"] ** 2)
-            grads = {"W": ((xb - mean) * scale).T @ dh, "b": dh.sum(0), "V": k["e"].T @ dt, "U": k["e"].T @ dg, "a": (k["t"] * k["g"]).T @ ds, "c": k["z"].T @ dl, "d": dl.sum(keepdims=True)}
+            w, grads = model.w, model.gradients(x[rows], nb, y[docs])
             step += 1
             for name, g in grads.items():
                 g = g + DECAY * w[name]
@@ -132,9 +135,13 @@ def _fit(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """docs (doc_id, text), labels (doc_id, y 0/1). At most sample_docs documents reach the driver, as passage features."""
-    sample = labels.where("y is not null and doc_id is not null").select("doc_id", F.col("y").cast("int").alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length(F.coalesce(F.col("text"), F.lit(""))) <= SAMPLE_CHARS)
+    """docs (doc_id, text), labels (doc_id, y 0/1). At most sample_docs documents reach the driver, as features of BAG passages each."""
+    rows = training_rows(docs, labels, sample_docs)
+
+    def drawn(x: np.ndarray) -> np.ndarray:
+        if len(x) <= BAG:
+            return x
+        return x[np.sort(np.random.default_rng(len(x)).choice(len(x), BAG, replace=False))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             for i, j in slices(offsets, 1_000_000):
                 x, n = passage_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([x[p:q].astype(np.float16).tobytes() for p, q in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([drawn(x[p:q]).astype(np.float16).tobytes() for p, q in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "y", "x"])
 
     got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "y").mapInArrow(run, "doc_id bigint, y int, x binary").toPandas().sort_values(["doc_id", "x"])
     each = [np.frombuffer(v, np.float16).reshape(-1, WIDTH) for v in got["x"]]

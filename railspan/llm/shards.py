@@ -6,7 +6,9 @@ FAN_IN, merges each tier of FAN_IN shards or more into files of the target size
 shuffle (the reader packs whole small files into one task up to the target), checks that no row was lost, and
 commits a manifest that swaps them. A manifest is written beside its name and renamed only if no one else
 took that version, so readers see whole versions, and of two writers one fails and can retry. Files of lost
-or repeated tasks are in no manifest. vacuum() deletes what only old manifests name.
+or repeated tasks are in no manifest. vacuum() deletes what only old manifests name; a writer leaves an intent
+before its first file and takes it away after its commit, and vacuum() spares the files of intents younger than
+a grace time.
 
 A manifest holds a line for each shard (about a hundred bytes for a target-sized file), never rows. Nulls and
 extra columns are stored as they are; an empty arrival commits a version without new shards.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from urllib.parse import unquote
@@ -111,15 +114,15 @@ class ShardStore:
     def append_each(self, df: DataFrame, arrival: str | None) -> int:
         """Append df as one arrival, or as one for each value of the column arrival, in a single scan; returns the last version."""
         version, schema, shards = self.manifest()
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        own = json.loads((df.drop(arrival) if arrival else df).schema.json())
+        if schema is not None and schema != own:
+            raise ValueError("the arrival's columns differ from the store's")
+        folder = self._intend()
         writer = df.write.option("maxRecordsPerFile", ARRIVAL_ROWS)
         if arrival:
             writer = writer.partitionBy(arrival)
             df = df.drop(arrival)
         writer.parquet(folder)
-        own = json.loads(df.schema.json())
-        if schema is not None and schema != own:
-            raise ValueError("the arrival's columns differ from the store's")
         new = self._shards(folder)
         groups: dict[str, list[Shard]] = {}
         for s in new:
@@ -127,12 +130,22 @@ class ShardStore:
         for part in [groups[k] for k in sorted(groups)] or [[]]:
             shards = shards + part
             version = self._commit(version + 1, own, shards)
+        self._done(folder)
         return version
 
-    def _merge(self, shards: list[Shard], schema: dict) -> list[Shard]:
+    def _intend(self) -> str:
+        """A new data folder, named by an intent."""
+        name = uuid.uuid4().hex
+        self._fs.mkdirs(self._path(f"{self.root}/_intents"))
+        self._fs.create(self._path(f"{self.root}/_intents/{name}"), False).close()
+        return f"{self.root}/data/{name}"
+
+    def _done(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/_intents/{folder.rsplit('/', 1)[1]}"), False)
+
+    def _merge(self, shards: list[Shard], schema: dict, folder: str) -> list[Shard]:
         confs = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
         before = {k: self.spark.conf.get(k, None) for k in confs}
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
         try:
             for k, v in confs.items():
                 self.spark.conf.set(k, v)
@@ -156,17 +169,20 @@ class ShardStore:
         if not due:
             return version
         gone = {s.path for v in due.values() for s in v}
-        new = [m for t in sorted(due) for m in self._merge(due[t], schema)]
-        return self._commit(version + 1, schema, [s for s in shards if s.path not in gone] + new)
+        folders = {t: self._intend() for t in sorted(due)}
+        new = [m for t in sorted(due) for m in self._merge(due[t], schema, folders[t])]
+        version = self._commit(version + 1, schema, [s for s in shards if s.path not in gone] + new)
+        for folder in folders.values():
+            self._done(folder)
+        return version
 
-    def compact_all(self, most_rounds: int = 8) -> int:
-        """Rounds of compact() until no tier is due or a round saves no file."""
-        for _ in range(most_rounds):
+    def compact_all(self) -> int:
+        """Rounds of compact() until no tier is due or a round saves no file; each round before has fewer files, so it ends."""
+        while True:
             before = self.manifest()
             version = self.compact()
             if version == before[0] or len(self.manifest()[2]) >= len(before[2]):
-                break
-        return self.manifest()[0]
+                return version
 
     def _read(self, shards: list[Shard], schema: dict) -> DataFrame:
         kind = T.StructType.fromJson(schema)
@@ -180,16 +196,24 @@ class ShardStore:
             raise ValueError("the store has no version")
         return self._read(shards, schema)
 
-    def vacuum(self) -> int:
-        """Delete shards that the last manifest doesn't name, and all older manifests; the number of shards deleted."""
-        version, _, shards = self.manifest()
+    def vacuum(self, grace_s: float = 86_400) -> int:
+        """Delete shards that the last manifest doesn't name, and all older manifests; the number of shards deleted.
+
+        Folders of writers at work stay: those with an intent younger than grace_s. Files are listed first, intents next
+        and the manifest last, so a file without an intent was committed before the manifest was read, or never will be.
+        """
         name = lambda p: p.split("/data/", 1)[1]
-        live, gone = {name(s.path) for s in shards}, 0
-        todo, old = self._fs.listFiles(self._path(f"{self.root}/data"), True), []
+        todo, files = self._fs.listFiles(self._path(f"{self.root}/data"), True), []
         while todo.hasNext():
             f = todo.next().getPath()
-            if f.getName().endswith(".parquet") and name(f.toString()) not in live:
-                old.append(f)
+            if f.getName().endswith(".parquet"):
+                files.append(f)
+        folder, busy = self._path(f"{self.root}/_intents"), set()
+        if self._fs.exists(folder):
+            busy = {f.getPath().getName() for f in self._fs.listStatus(folder) if time.time() - f.getModificationTime() / 1000 < grace_s}
+        version, _, shards = self.manifest()
+        live, gone = {name(s.path) for s in shards}, 0
+        old = [f for f in files if name(f.toString()) not in live and name(f.toString()).split("/")[0] not in busy]
         for f in old:
             gone += bool(self._fs.delete(f, False))
         for v in self.versions():

@@ -5,15 +5,17 @@ A file holds the ids of a range of documents in ascending doc_id order, in segme
     segment  b"PFR1", u32 ids, u32 blocks, u32 exceptions, u32 payload bytes,
              u32 minimum[blocks], u8 width[blocks], u8 exception count[blocks], u32 payload start[blocks],
              u8 exception position[exceptions], u32 exception value[exceptions], payload
-    footer   i64 doc_id[docs], i64 ids[docs], i64 segment start[segments], u64 docs, u64 segments, b"PFRE"
+    footer   i64 doc_id[docs], i64 ids[docs], i64 segment start[segments], u64 docs, u64 nulls, u64 segments, b"PFRE"
+             (the first nulls documents of a file have no doc_id; theirs reads 0)
 
 A block is BLOCK ids. The block's minimum is subtracted and the rest is packed at the least width that holds
 PERCENTILE of the block; wider values keep their place in the packing and their whole value in the exception
 list. Block starts are indexed, so one block can be read alone. All numbers are little-endian.
 
-Files are written beside their name and renamed when whole, so a task that is lost or run twice leaves one
-whole file. Null and empty texts are one end id; an empty table writes no file and returns no rows; rows
-with equal doc_id stay side by side.
+Each try of a task writes a file of its own name; the result names the files of the tries that were committed,
+and those of lost tries are in no result. Null and empty texts are one end id; an empty table writes no file and
+returns no rows. Rows without doc_id come first; rows with equal doc_id are ordered by a hash of the text and the
+text, so start is defined for them too.
 """
 
 from __future__ import annotations
@@ -122,8 +124,8 @@ def write_ids(docs: DataFrame, folder: str, vocab: str, end_id: int, lower_words
 
         enc, part = encoder(vocab, lower_words), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
-        path, temporary = f"{root}/part-{part:06d}.pfor", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-        out, held, n_held, segments, doc_ids, counts = None, [], 0, [], [], []
+        path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.pfor"
+        out, held, n_held, segments, doc_ids, counts, nulls = None, [], 0, [], [], [], 0
 
         def flush(least: int) -> None:
             nonlocal held, n_held
@@ -138,7 +140,7 @@ def write_ids(docs: DataFrame, folder: str, vocab: str, end_id: int, lower_words
                 continue
             if out is None:
                 store.create_dir(root, recursive=True)
-                out = store.open_output_stream(temporary, compression=None)
+                out = store.open_output_stream(path, compression=None)
             data, offsets = texts_of(b.column(1))
             for i, j in slices(offsets, 1_000_000):
                 ids, n = enc.encode([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)])
@@ -151,35 +153,37 @@ def write_ids(docs: DataFrame, folder: str, vocab: str, end_id: int, lower_words
                 n_held += len(own)
                 counts.append(n + 1)
                 flush(SEGMENT)
-            doc_ids.append(b.column(0).fill_null(-1).to_numpy())
+            nulls += b.column(0).null_count
+            doc_ids.append(b.column(0).fill_null(0).to_numpy())
         if out is not None:
             flush(1)
             d, c = np.concatenate(doc_ids).astype("<i8"), np.concatenate(counts).astype("<i8")
-            out.write(d.tobytes() + c.tobytes() + np.array(segments, "<i8").tobytes() + struct.pack("<2Q", len(d), len(segments)) + b"PFRE")
+            out.write(d.tobytes() + c.tobytes() + np.array(segments, "<i8").tobytes() + struct.pack("<3Q", len(d), nulls, len(segments)) + b"PFRE")
             out.close()
-            store.move(temporary, path)
             uri = folder + path[len(root) :]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, uri, int(d[0]), len(d), int(c.sum())], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["part", "path", "first", "docs", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    # the hash splits a doc_id that many rows have
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "part bigint, path string, first bigint, docs bigint, ids bigint")
 
 
-def read_file(uri: str) -> Iterator[tuple[int, np.ndarray | None, bool]]:
+def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray, bool]]:
     """(doc_id, ids, whole): the documents of a file in turn; a document over several segments comes in parts, whole marking its last."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_file(path) as f:
         size = f.size()
-        f.seek(size - 20)
-        tail = f.read(20)
-        if tail[16:] != b"PFRE":
+        f.seek(size - 28)
+        tail = f.read(28)
+        if tail[24:] != b"PFRE":
             raise ValueError(f"{uri} has no footer")
-        docs, segments = struct.unpack("<2Q", tail[:16])
-        f.seek(size - 20 - 8 * (2 * docs + segments))
+        docs, nulls, segments = struct.unpack("<3Q", tail[:24])
+        f.seek(size - 28 - 8 * (2 * docs + segments))
         foot = np.frombuffer(f.read(8 * (2 * docs + segments)), "<i8")
-        ends = [*foot[2 * docs + 1 :].tolist(), size - 20 - 8 * (2 * docs + segments)]
+        ends = [*foot[2 * docs + 1 :].tolist(), size - 28 - 8 * (2 * docs + segments)]
         doc, left = 0, int(foot[docs])
         for a, z in zip(foot[2 * docs :].tolist(), ends, strict=True):
             f.seek(a)
@@ -188,7 +192,7 @@ def read_file(uri: str) -> Iterator[tuple[int, np.ndarray | None, bool]]:
             while at < len(ids):
                 take = min(left, len(ids) - at)
                 left -= take
-                yield int(foot[doc]), ids[at : at + take], not left
+                yield None if doc < nulls else int(foot[doc]), ids[at : at + take], not left
                 at += take
                 if not left:
                     doc += 1

@@ -9,11 +9,14 @@ for the log-odds and three for the calibration.
 Scoring: tokens take their log-odds, all others a small negative drift. One linear scan (Ruzzo and Tompa)
 over the running sum finds all disjoint maximal segments. A segment of score S in a text of n tokens has
 the extreme-value expectation E = K n exp(-lambda S), lambda solving sum p(s) exp(lambda s) = 1 over the
-scores of clean tokens; segments with E <= LEAST_E are significant passages. A document's evidence is its
-best segment's -log E and its significant passages; a logistic curve fitted on the training rows maps it
+scores of clean tokens, and K estimated by maximum likelihood from the best segments of clean calibration rows
+(K n exp(-lambda S) of such a row is exponential with mean 1); segments with E <= LEAST_E are significant passages. A document's evidence is its
+best segment's log(1 + 1/E) and its significant passages; a logistic curve fitted on the training rows maps it
 to a probability.
 
-Null, empty and wordless texts have no segment and the score of no evidence. Without labels of both
+Labels of a doc_id that contradict each other are left out, and where rows repeat a labelled doc_id one of their
+texts trains. Repeated rows, null and repeated doc_ids are scored row by row. Null, empty and wordless texts have
+no segment and the score of no evidence. Without labels of both
 classes every score is the share of label 1 (0 without labels).
 """
 
@@ -114,12 +117,12 @@ def _lookup(model: Model, words: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _evidence(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float, float]]]:
-    """-log E of the best segment (0 at least), and the significant passages with their E."""
+    """log(1 + 1 / E) of the best segment, 0 without one, and the significant passages with their E."""
     found = segments(scores)
     if not found:
         return 0.0, []
     e = [(a, b, s, float(model.k * len(scores) * np.exp(-min(700.0, model.lam * s)))) for a, b, s in found]
-    return max(0.0, -np.log(max(1e-300, min(x[3] for x in e)))), [x for x in e if x[3] <= LEAST_E]
+    return float(np.log1p(1 / max(1e-300, min(x[3] for x in e)))), [x for x in e if x[3] <= LEAST_E]
 
 
 def _each(model: Model, column: pa.Array) -> Iterator[tuple[float, list, np.ndarray, np.ndarray, int]]:
@@ -134,6 +137,16 @@ def _each(model: Model, column: pa.Array) -> Iterator[tuple[float, list, np.ndar
             yield *got, starts[a:b], ends[a:b], int(offsets[i + r] - offsets[i])
 
 
+def _scored(model: Model, column: pa.Array) -> Iterator[tuple[list, np.ndarray]]:
+    """All maximal segments of each text, with the starts of its tokens."""
+    data, offsets = texts_of(column)
+    for i, j in slices(offsets):
+        starts, _, n, words, heads = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        scores, at = _lookup(model, words, heads), np.concatenate([[0], np.cumsum(n)])
+        for a, b in zip(at, at[1:], strict=False):
+            yield [(x, z, s, 0.0) for x, z, s in segments(scores[a:b])], starts[a:b]
+
+
 def _probability(model: Model, evidence: np.ndarray, passages: np.ndarray) -> np.ndarray:
     x = np.stack([np.ones(len(evidence)), np.minimum(evidence, 60) / 10, np.minimum(passages, 10)], 1)
     return 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
@@ -159,10 +172,31 @@ def _logistic(x: np.ndarray, t: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return np.concatenate([w[:1], np.maximum(w[1:], 0)])
 
 
+def _fitted_k(model: Model, clean: DataFrame) -> float:
+    """K = rows / sum(n exp(-lambda S)) over clean rows with a token, S their best segment; as if one token without a segment were seen too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [(len(starts), max((s for _, _, s, _ in found), default=0.0)) for found, starts in _scored(model, b.column(0))]
+            x = [n * float(np.exp(-min(700.0, model.lam * s))) for n, s in each if n]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([float(sum(x))])], names=["n", "x"])
+
+    got = clean.mapInArrow(run, "n bigint, x double").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
+    return ((got["n"] or 0) + 1) / ((got["x"] or 0.0) + 1)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, y): a row for each of the labelled doc_ids of least hash, most at most. Contradicting labels are left out; of several texts of a doc_id the one of least hash stays."""
+    y = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.min("y").cast("int").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
+    sample = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most rows are broadcast
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
+    return written(one.select("doc_id", "r.text", "r.y"), "training")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """docs (doc_id, text), labels (doc_id, y 0/1): the model. What reaches the driver is bounded by MODEL_ROWS and sample_rows."""
-    sample = labels.where("y is not null and doc_id is not null").select("doc_id", F.col("y").cast("int").alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) < 7).alias("fit"))  # sample_rows rows at most
+    rows = training_rows(docs, labels, sample_rows).select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) < 7).alias("fit"))
     counts = written(_counts(rows.where("fit").select("text", "y")), "tokens")
     sums = {r["kind"]: (float(r["a"]), float(r["b"])) for r in counts.groupBy("kind").agg(F.sum("y1").alias("a"), F.sum("y0").alias("b")).collect()}
     n1, n0 = sums.get(0, (0.0, 0.0))
@@ -185,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(np.clip(mid * s, -700, 700))).sum() < 1 else (lo, mid)
-    model = Model(keys, d.astype(np.float32), max(lo, 0.1), max(1e-3, min(1.0, lo * abs(float((p * s).sum())))), np.zeros(3), float(y))
+    model = Model(keys, d.astype(np.float32), max(lo, 0.1), 1.0, np.zeros(3), float(y))
+    model.k = _fitted_k(model, rows.where("not fit and y = 0").select("text"))
 
     # calibrate on the training rows that the log-odds have not seen
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,15 @@ def texts():
 
 
 def rows(values):
-    return [(i, x, ["en", "fr", None][i % 3], ["s0", "s0", "s1", None][i % 4], len(x or ""), "clash", "clash", "clash") for i, x in enumerate(values)]
+    out = [(i, x, ["en", "fr", None][i % 3], ["s0", "s0", "s1", None][i % 4], len(x or ""), "clash", "clash", "clash") for i, x in enumerate(values)]
+    # rows without doc_id, an id with two texts, and whole rows twice
+    out += [(None, x, "en", "s0", 1, "clash", "clash", "clash") for x in (None, "no id here at all", prose(7, 40))]
+    return out + [(20, prose(8, 35), "fr", "s1", 2, "clash", "clash", "clash"), out[30], out[30], out[12]]
 
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    """Nulls, empty and very long texts, ties, repeated texts, odd bytes, and extra columns with clashing names."""
+    """Nulls in all columns, empty and very long texts, ties, repeated rows, ids and texts, odd bytes, and extra columns with clashing names."""
     return spark.createDataFrame(rows(texts()), COLUMNS).repartition(3)
 
 
@@ -39,5 +42,5 @@ def folder(spark, docs, tmp_path_factory):
     """The fixture documents as driver tables, with labels."""
     path = tmp_path_factory.mktemp("sf")
     docs.select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).toPandas().to_parquet(path / "documents.parquet")
-    spark.createDataFrame([(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(80)], "doc_id long, quality int, toxic int").toPandas().to_parquet(path / "labels.parquet")
+    spark.createDataFrame([(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(80)] + [(None, 1, 1), (3, 0, 1), (4, 1, 1), (4, 0, 0), (77, None, None)], "doc_id long, quality int, toxic int").toPandas().to_parquet(path / "labels.parquet")
     return str(path)
