@@ -1,6 +1,7 @@
 """Token files and packing: against the library on whole texts, and exact round trips."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -52,40 +53,48 @@ def test_segment_round_trip(values):
         assert (token_blocks.unpack_segment(data, b) == ids[b * 128 : b * 128 + 128]).all()
 
 
-def test_files_hold_every_document_in_order(spark, docs, monkeypatch):
+def test_files_hold_every_document_in_order(spark, docs):
     files = token_blocks.write_ids(docs, fresh_path(spark, "t"), P.path("word_bpe_49k.json"), 2, True).collect()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    want = dict(zip(sorted(texts), whole("word_bpe_49k.json", [texts[i] for i in sorted(texts)], 2), strict=True))
-    got = {}
+    got = []
     for f in sorted(files, key=lambda f: f.part):
-        for doc, ids, _ in token_blocks.read_file(f.path):
-            got.setdefault(doc, []).append(ids)
-    assert list(got) == sorted(texts)
-    assert all((np.concatenate(got[i]) == want[i]).all() for i in want)
+        held = []
+        for doc, ids, last in token_blocks.read_file(f.path):
+            held.append(ids)
+            if last:
+                got.append((doc, np.concatenate(held).tobytes()))
+                held = []
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = [(i, ids.tobytes()) for (i, _), ids in zip(rows, whole("word_bpe_49k.json", [x for _, x in rows], 2), strict=True)]
+    order = [first_nulls(i) for i, _ in got]
+    assert order == sorted(order) and Counter(got) == Counter(want)
+
+
+def first_nulls(i):
+    return (i is not None, i or 0)
 
 
 def test_op8(spark, folder, docs):
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    out = {r.doc_id: r for r in token_blocks.op8_pfor_ids(spark, folder).collect()}
-    at = 0
-    for i, ids in zip(sorted(texts), whole("word_bpe_49k.json", [texts[i] for i in sorted(texts)], 2), strict=True):
-        assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = Counter((i, len(ids), zlib.crc32(ids.tobytes())) for (i, _), ids in zip(rows, whole("word_bpe_49k.json", [x for _, x in rows], 2), strict=True))
+    out = sorted(token_blocks.op8_pfor_ids(spark, folder).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    assert [r.start for r in out] == [sum(r.n_tokens for r in out[:k]) for k in range(len(out))]
+    order = [first_nulls(r.doc_id) for r in out]
+    assert order == sorted(order)
+    again = sorted(token_blocks.op8_pfor_ids(spark, folder).collect(), key=lambda r: r.start)
+    assert again == out  # ties have a defined order
 
 
 def check_packing(rows, want):
-    by_doc, by_sequence = {}, {}
+    by_sequence = {}
     for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(r)
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert set(by_doc) == set(want)
-    for i, ids in want.items():
-        at = 0
-        for k, r in enumerate(sorted(by_doc[i], key=lambda r: r.piece)):
-            assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            assert r.length == 2048 if k else r.length <= 2048
-            at += r.length
-        assert at == len(ids)
+    pieces = []
+    for i, ids in want:
+        n = -(-len(ids) // 2048)
+        ends = [len(ids) - 2048 * (n - 1 - k) for k in range(n)]  # only the first may be shorter
+        pieces += [(i, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip([0, *ends], ends, strict=False))]
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == Counter(pieces)
     for places in by_sequence.values():
         at = 0
         for offset, length in sorted(places):
@@ -96,10 +105,10 @@ def check_packing(rows, want):
 
 
 def test_op9(spark, folder, docs):
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    want = dict(zip(texts, whole("byte_bpe_50k.json", texts.values(), 0), strict=True))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    want = list(zip([i for i, _ in texts], whole("byte_bpe_50k.json", [x for _, x in texts], 0), strict=True))
     n = check_packing(packing.op9_pattern_packing(spark, folder).collect(), want)
-    assert n <= 1.05 * -(-sum(map(len, want.values())) // 2048) + 1
+    assert n <= 1.05 * -(-sum(len(x) for _, x in want) // 2048) + 1
 
 
 def test_empty_tables(spark, none):
