@@ -128,13 +128,6 @@ def a08(t: Tables) -> DataFrame:
     return t.near.select(F.col("a").alias("stop")).union(t.near.select("b")).groupBy("stop").agg(F.count("*").alias("n"))
 
 
-@query("a16_component_area", "SELECT x // 10 AS gx, y // 10 AS gy, CAST(count_if(land) * 4 AS BIGINT) AS area FROM cells GROUP BY 1, 2 HAVING count_if(land) * 4 < 350")
-def a16(t: Tables) -> DataFrame:
-    """Areas under a size."""
-    d = t.cells.groupBy(F.floor(F.col("x") / 10).alias("gx"), F.floor(F.col("y") / 10).alias("gy")).agg((F.count_if("land") * 4).alias("area"))
-    return d.where("area < 350")
-
-
 # --- folds ---------------------------------------------------------------------------------------------------
 
 CLOCK = "SELECT trip, seq, (arr + trip % 3 * 14400) % 86400 - CASE WHEN stop % 23 = 0 THEN 2000 ELSE 0 END AS arr, (dep + trip % 3 * 14400) % 86400 AS dep FROM events WHERE trip % 5 = 1"
