@@ -47,7 +47,9 @@ def _topic(docs: DataFrame) -> Column:
     classes = F.transform(words, lambda w: (low(w) * 31 + low(F.right(w, F.lit(1))) * 7 + F.length(w)) % TOPICS)
 
     def most(c: Column) -> Column:
-        counts = F.array(*[F.struct(F.size(F.filter(c, lambda x, k=k: x == k)).alias("n"), F.lit(-k).alias("k")) for k in range(TOPICS)])
+        # a second parameter of the lambda would be the index
+        size = lambda k: F.size(F.filter(c, lambda x: x == F.lit(k)))
+        counts = F.array(*[F.struct(size(k).alias("n"), F.lit(-k).alias("k")) for k in range(TOPICS)])
         return F.when(F.size(c) > 0, F.concat(F.lit("t"), (-F.array_max(counts)["k"]).cast("string"))).otherwise(F.lit("none"))
 
     return F.element_at(F.transform(F.array(classes), most), 1)

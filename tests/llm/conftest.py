@@ -41,6 +41,6 @@ def none(spark):
 def folder(spark, docs, tmp_path_factory):
     """The fixture documents as driver tables, with labels."""
     path = tmp_path_factory.mktemp("sf")
-    docs.select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).toPandas().to_parquet(path / "documents.parquet")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).toPandas().astype({"doc_id": "Int64"}).to_parquet(path / "documents.parquet")
     spark.createDataFrame([(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(80)] + [(None, 1, 1), (3, 0, 1), (4, 1, 1), (4, 0, 0), (77, None, None)], "doc_id long, quality int, toxic int").toPandas().to_parquet(path / "labels.parquet")
     return str(path)

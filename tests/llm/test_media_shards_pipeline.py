@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from railspan.llm import audio, shards
+from helpers import duck
+from llm_brute import all_segments, shingles
+from railspan.llm import audio, mixing, quality_rules, shards, toxicity
 from railspan.llm.common import fresh_path
 from railspan.llm.shards import Conflict, ShardStore
 
@@ -178,6 +180,54 @@ def test_vacuum_spares_writers_at_work(spark, docs):
     assert store.vacuum() == 0 and store.vacuum(grace_s=-60) > 0 and store.read().count() == 12
 
 
+def duck_on(frame, sql, tmp_path):
+    frame.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")  # nulls must not turn ids into floats
+    return duck(sql, tmp_path)
+
+
+def test_stages_equal_brute_force(spark, folder, docs, tmp_path, monkeypatch):
+    """Each deciding stage on whole input against SQL, segments by definition, or all pairs."""
+    columns = ["doc_id", "text", "lang", "source"]
+    rows = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    narrow = docs.select("doc_id", "text", "lang", "source")
+    # quality rules: verdicts are equal for equal rows, so a count by doc_id tells
+    verdict = duck_on(narrow, quality_rules.OP10_SQL, tmp_path)
+    kept = corpus_pipeline.quality_stage(spark, narrow, folder)
+    count = lambda ids: Counter(None if x is None or x != x else int(x) for x in ids)
+    assert kept.columns == columns and count(r.doc_id for r in kept.collect()) == count(verdict[verdict["kept"]]["doc_id"])
+    # toxicity: every score again from segments by definition
+    model = toxicity.train(narrow, toxicity.labelled(spark, folder, "toxic", 4, 2))
+    want = Counter()
+    for r in narrow.collect():
+        raw = (r.text or "").encode()
+        _, _, _, words, heads = toxicity._tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        scores = toxicity._lookup(model, words, heads)
+        if len(scores) > 2000:  # the definition is quadratic; one text of 30,000 words goes by the scan
+            found = toxicity.segments(scores)
+        else:
+            found = all_segments(scores.tolist())
+        e = [model.k * len(scores) * np.exp(-min(700.0, model.lam * s)) for *_, s in found]
+        x = [1.0, min(60.0, np.log1p(1 / max(1e-300, min(e)))) / 10 if e else 0.0, min(10, sum(v <= toxicity.LEAST_E for v in e))]
+        want[(r.doc_id, r.text)] += 1 / (1 + np.exp(-np.dot(x, model.curve))) < toxicity.THRESHOLD
+    assert rows(corpus_pipeline.toxicity_stage(spark, narrow, folder)) == +want
+    # near-duplicates: one row of each class by all pairs
+    all_rows = [(r.doc_id, r.text) for r in narrow.collect()]
+    sets = [shingles(x, 5) for _, x in all_rows]
+    classes = {}
+    for i, own in enumerate(sets):
+        links = [c for c, held in classes.items() if own and any(100 * len(own & sets[j]) >= 80 * len(own | sets[j]) for j in held)]
+        classes[i] = [i] + [j for c in links for j in classes.pop(c)]
+    kept = corpus_pipeline.dedup_stage(spark, narrow, folder).collect()
+    assert len(kept) == len(classes)
+    least = Counter(min((all_rows[j][0] for j in held), key=lambda v: (v is None, v)) for held in classes.values())
+    assert Counter(r.doc_id for r in kept) == least
+    # mixing
+    monkeypatch.setattr(mixing, "FRACTION", corpus_pipeline.MIX_FRACTION)
+    drawn = duck_on(narrow, mixing._sql(), tmp_path)
+    kept = corpus_pipeline.mixing_stage(spark, narrow, folder)
+    assert count(r.doc_id for r in kept.collect()) == count(drawn[drawn["drawn"]]["doc_id"])
+
+
 def test_dedup_stage_keeps_one_of_each_group(spark, folder, docs):
     kept = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, folder).collect()}
     assert 8 in kept and not kept & {9, 10, 11}

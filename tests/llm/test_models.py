@@ -5,26 +5,12 @@ import math
 import numpy as np
 import pytest
 from helpers import DATA
+from llm_brute import all_segments
 from pyspark.sql import functions as F
 
 from railspan.llm import language_crf, quality_model, toxicity
 
 
-def all_segments(scores):
-    """Maximal scoring segments by definition: the best segment, then both sides of it."""
-    if not len(scores) or max(scores) <= 0:
-        return []
-    best, place = 0.0, None
-    for i in range(len(scores)):
-        total = 0.0
-        for j in range(i, len(scores)):
-            total += scores[j]
-            if total > best + 1e-9:
-                best, place = total, (i, j + 1)
-    a, b = place
-    return [*all_segments(scores[:a]), (a, b, best), *((x + b, y + b, s) for x, y, s in all_segments(scores[b:]))]
-
-
 def test_segments_equal_brute_force():
     rng = np.random.default_rng(6)
     for n in [0, 1, 2, 5, 20, 40] * 10:

@@ -1,23 +1,14 @@
 """Near-duplicates against all pairs."""
 
 import random
-import re
 
 import numpy as np
 import pytest
 from helpers import DATA
+from llm_brute import shingles
 
 from railspan.llm import components, near_dedup
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def shingles(text, k):
-    w = WORD.findall((text or "").encode().translate(FOLD))
-    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
-
-
 def brute(texts, k, percent=80):
     sets = {i: shingles(x, k) for i, x in texts.items()}
     root = {i: i for i in sets}
