@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -193,7 +194,7 @@ def test_stages_equal_brute_force(spark, folder, docs, tmp_path, monkeypatch):
     # quality rules: verdicts are equal for equal rows, so a count by doc_id tells
     verdict = duck_on(narrow, quality_rules.OP10_SQL, tmp_path)
     kept = corpus_pipeline.quality_stage(spark, narrow, folder)
-    count = lambda ids: Counter(None if x is None or x != x else int(x) for x in ids)
+    count = lambda ids: Counter(None if pd.isna(x) else int(x) for x in ids)
     assert kept.columns == columns and count(r.doc_id for r in kept.collect()) == count(verdict[verdict["kept"]]["doc_id"])
     # toxicity: every score again from segments by definition
     model = toxicity.train(narrow, toxicity.labelled(spark, folder, "toxic", 4, 2))
