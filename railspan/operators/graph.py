@@ -60,21 +60,21 @@ def walksheds(stations: DataFrame, edges: DataFrame, nodes: DataFrame, limit: in
     """(stop, cell, sec) of every cell within limit seconds on foot of each station.
 
     stations (stop, cell, x, y), nodes (cell, x, y), edges (src, dst, sec). reach bounds how many cells a walk of the limit can
-    cross. Stations are grouped by tiles of that width, and an edge is copied to the tiles around it, so a task runs the
+    cross. Stations of one cell share a search. Cells are grouped by tiles of that width, and an edge is copied to the tiles around it, so a task runs the
     searches of one tile over a bounded piece of the network. No task or broadcast holds the whole network.
     """
     tile = lambda c: F.floor(F.col(c) / reach)
-    s = stations.select("stop", "cell", tile("x").alias("tx"), tile("y").alias("ty"))
+    s = stations.select("cell", tile("x").alias("tx"), tile("y").alias("ty")).distinct()
     near = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> named_struct('i', i, 'j', j))))"))
     e = edges.join(nodes.select(F.col("cell").alias("src"), tile("x").alias("tx"), tile("y").alias("ty")), "src")
     e = e.withColumn("o", near).select((F.col("tx") + F.col("o.i")).alias("tx"), (F.col("ty") + F.col("o.j")).alias("ty"), "src", "dst", "sec")
 
-    def search(stops: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+    def search(starts: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for a, b, c in zip(net["src"].tolist(), net["dst"].tolist(), net["sec"].tolist(), strict=True):
             out[a].append((b, c))
         rows = []
-        for stop, cell in zip(stops["stop"].tolist(), stops["cell"].tolist(), strict=True):
+        for cell in starts["cell"].tolist():
             best, heap = {cell: 0}, [(0, cell)]
             while heap:
                 d, at = heapq.heappop(heap)
@@ -84,10 +84,11 @@ def walksheds(stations: DataFrame, edges: DataFrame, nodes: DataFrame, limit: in
                     if d + c <= limit and d + c < best.get(b, limit + 1):
                         best[b] = d + c
                         heapq.heappush(heap, (d + c, b))
-            rows += [(stop, c, d) for c, d in best.items()]
-        return pd.DataFrame(rows, columns=["stop", "cell", "sec"]).astype("int64")
+            rows += [(cell, c, d) for c, d in best.items()]
+        return pd.DataFrame(rows, columns=["door", "cell", "sec"]).astype("int64")
 
-    return s.groupBy("tx", "ty").cogroup(e.groupBy("tx", "ty")).applyInPandas(search, "stop bigint, cell bigint, sec bigint")
+    walked = s.groupBy("tx", "ty").cogroup(e.groupBy("tx", "ty")).applyInPandas(search, "door bigint, cell bigint, sec bigint")
+    return walked.join(stations.select("stop", F.col("cell").alias("door")), "door").select("stop", "cell", "sec")
 
 
 def trace(best: DataFrame, events: DataFrame, transfers: DataFrame, access: DataFrame, depart: int, deadline: int, limit: float) -> DataFrame:

@@ -91,12 +91,12 @@ def z27(t: Tables) -> DataFrame:
 
 @query(
     "z14_ride_options",
-    "WITH hi AS (SELECT DISTINCT cluster FROM stops WHERE size > 40) SELECT e.trip, e.seq, s.line FROM events AS e JOIN stops AS s USING (stop) WHERE e.trip % 8 = 1 AND NOT (e.trip % 3 = 0 AND s.size <= 40 AND s.cluster IN (SELECT cluster FROM hi))",
+    "WITH hi AS (SELECT DISTINCT cluster FROM stops WHERE size > 40) SELECT e.trip, e.seq, s.line FROM events AS e JOIN stops AS s USING (stop) WHERE NOT (e.trip % 3 = 0 AND s.size <= 40 AND s.cluster IN (SELECT cluster FROM hi))",
 )
 def z14(t: Tables) -> DataFrame:
     """Lines a service may ride; a dual-mode one drops conventional stops at clusters with a high-speed stop."""
     fast = t.stops.where("size > 40").select("cluster").distinct().withColumn("fast", F.lit(True))
-    d = t.events.where("trip % 8 = 1").join(t.stops, "stop").join(fast, "cluster", "left")
+    d = t.events.join(t.stops, "stop").join(fast, "cluster", "left")
     return d.where(~((F.col("trip") % 3 == 0) & (F.col("size") <= 40) & F.col("fast").isNotNull())).select("trip", "seq", "line")
 
 
@@ -104,7 +104,7 @@ def z14(t: Tables) -> DataFrame:
     "z10_pieces_in_region",
     f"""WITH {IN_AREA}, box AS (SELECT poly, min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM ({RINGS}) GROUP BY poly),
 gap AS (SELECT p.poly AS p, q.poly AS q FROM box AS p JOIN box AS q ON p.poly <> q.poly AND greatest(p.a, q.a) - least(p.b, q.b) <= 1 AND greatest(p.c, q.c) - least(p.d, q.d) <= 1),
-k0 AS (SELECT DISTINCT poly FROM pip JOIN (SELECT x * 1000 + y AS cell FROM (SELECT {PLACE} FROM stops WHERE stop % 90 = 1)) ON cell = point),
+k0 AS (SELECT DISTINCT poly FROM pip JOIN (SELECT x * 1000 + y AS cell FROM (SELECT {PLACE} FROM stops)) ON cell = point),
 k1 AS (SELECT poly FROM k0 UNION SELECT q FROM gap JOIN k0 ON p = poly), k2 AS (SELECT poly FROM k1 UNION SELECT q FROM gap JOIN k1 ON p = poly) SELECT poly FROM k2""",
 )
 def z10(t: Tables) -> DataFrame:
@@ -114,7 +114,7 @@ def z10(t: Tables) -> DataFrame:
     p, q = box.withColumn("tile", tile).alias("p"), box.withColumn("tile", tile).alias("q")
     near = p.join(q, F.expr("p.tile = q.tile and p.poly <> q.poly and greatest(p.a, q.a) - least(p.b, q.b) <= 1 and greatest(p.c, q.c) - least(p.d, q.d) <= 1"))
     near = cut(near.select(F.col("p.poly").alias("poly"), F.col("q.poly").alias("q")).distinct())
-    stations = _placed(t).where("stop % 90 = 1").select((F.col("x") * 1000 + F.col("y")).alias("cell"))
+    stations = _placed(t).select((F.col("x") * 1000 + F.col("y")).alias("cell"))
     kept = _cells_of_areas(t).join(stations, "cell", "left_semi").select("poly").distinct()
     for _ in range(2):
         kept = kept.union(near.join(kept, "poly", "left_semi").select("q")).distinct()
@@ -123,13 +123,13 @@ def z10(t: Tables) -> DataFrame:
 
 @query(
     "z08_grown_coverage",
-    f"""WITH s AS (SELECT DISTINCT x, y FROM (SELECT {PLACE} FROM stops WHERE stop % 40 = 1)), o AS (SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j) WHERE i * i + j * j <= 9)
+    f"""WITH s AS (SELECT DISTINCT x, y FROM (SELECT {PLACE} FROM stops)), o AS (SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j) WHERE i * i + j * j <= 9)
 SELECT DISTINCT c.cell FROM (SELECT s.x + i AS x, s.y + j AS y FROM s, o) AS g JOIN cells AS c ON c.x = g.x AND c.y = g.y WHERE c.land""",
 )
 def z08(t: Tables) -> DataFrame:
     """Cells on land within three cells of a station: a stencil made in place, then an equi-join."""
     o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9]))
-    grown = _placed(t).where("stop % 40 = 1").select("x", "y").distinct().withColumn("o", o).select((F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).distinct()
+    grown = _placed(t).select("x", "y").distinct().withColumn("o", o).select((F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).distinct()
     return grown.join(t.cells.where("land"), ["x", "y"]).select("cell")
 
 
@@ -151,11 +151,11 @@ def g07(t: Tables) -> DataFrame:
 
 
 LOOP = 30
-ON_LOOP = f"SELECT trip, seq, stop % {LOOP} AS s, lead(stop % {LOOP}) OVER (PARTITION BY trip ORDER BY seq) AS n FROM events WHERE trip % 16 = 1"
+ON_LOOP = f"SELECT trip, seq, stop % {LOOP} AS s, lead(stop % {LOOP}) OVER (PARTITION BY trip ORDER BY seq) AS n FROM events"
 
 
 def _on_loop(t: Tables) -> DataFrame:
-    return sequences.adjacent(t.events.where("trip % 16 = 1").withColumn("s", F.col("stop") % LOOP), "trip", "seq", ["s"]).select("trip", "seq", "s", F.col("next_s").alias("n"))
+    return sequences.adjacent(t.events.withColumn("s", F.col("stop") % LOOP), "trip", "seq", ["s"]).select("trip", "seq", "s", F.col("next_s").alias("n"))
 
 
 @query(
@@ -167,7 +167,7 @@ def r03(t: Tables) -> DataFrame:
     """Stations of the line passed between two near stops of a service and not in its list, after the stop they follow."""
     step = F.when(F.col("n") > F.col("s"), 1).otherwise(-1)
     d = _on_loop(t).where(F.abs(F.col("n") - F.col("s")).between(2, 6)).select("trip", "seq", F.explode(F.sequence(F.col("s") + step, F.col("n") - step, step)).alias("station"))
-    return d.join(t.events.where("trip % 16 = 1").select("trip", (F.col("stop") % LOOP).alias("station")), ["trip", "station"], "left_anti").select("trip", "seq", "station")
+    return d.join(t.events.select("trip", (F.col("stop") % LOOP).alias("station")), ["trip", "station"], "left_anti").select("trip", "seq", "station")
 
 
 @query(
@@ -200,11 +200,11 @@ def z12(t: Tables) -> DataFrame:
 
 @query(
     "z05_line_headways",
-    "SELECT line, operator, min(size) AS headway FROM stops WHERE size % 5 <> 0 AND line % 4 = 1 GROUP BY line, operator",
+    "SELECT line, operator, min(size) AS headway FROM stops WHERE size % 5 <> 0 GROUP BY line, operator",
 )
 def z05(t: Tables) -> DataFrame:
     """Headways of a region's lines by operator: a map for each line, entries without a value left out, as rows."""
-    entry = t.stops.where("line % 4 = 1").groupBy("line", "operator").agg(F.min(F.when(F.col("size") % 5 != 0, F.col("size"))).alias("h"))
+    entry = t.stops.groupBy("line", "operator").agg(F.min(F.when(F.col("size") % 5 != 0, F.col("size"))).alias("h"))
     maps = entry.groupBy("line").agg(F.map_filter(F.map_from_entries(F.collect_list(F.struct("operator", "h"))), lambda _, h: h.isNotNull()).alias("m")).where(F.size("m") > 0)
     return maps.select("line", F.explode("m").alias("operator", "headway"))
 

@@ -94,11 +94,11 @@ def j09(t: Tables) -> DataFrame:
     return spatial.points_in_polygons(points, _rings(t))
 
 
-NODES = "nodes AS (SELECT stop AS node, lon + 0.0011 AS lon, lat - 0.0007 AS lat FROM stops WHERE stop % 3 = 0)"
+NODES = "nodes AS (SELECT stop AS node, lon + 0.0011 AS lon, lat - 0.0007 AS lat FROM stops)"
 
 
 def _nodes(t: Tables) -> DataFrame:
-    return t.stops.where("stop % 3 = 0").select(F.col("stop").alias("node"), (F.col("lon") + 0.0011).alias("rlon"), (F.col("lat") - 0.0007).alias("rlat"))
+    return t.stops.select(F.col("stop").alias("node"), (F.col("lon") + 0.0011).alias("rlon"), (F.col("lat") - 0.0007).alias("rlat"))
 
 
 @query("j10_snap_stations", f"WITH {NODES}, r AS (SELECT s.stop, node, {FLAT.format(a='s', b='n')} AS m FROM stops AS s JOIN nodes AS n ON {FLAT.format(a='s', b='n')} <= 300) SELECT s.stop, coalesce(k.node, -1) AS node FROM stops AS s LEFT JOIN (SELECT stop, node, row_number() OVER (PARTITION BY stop ORDER BY m, node) AS x FROM r) AS k ON k.stop = s.stop AND k.x = 1")
@@ -147,11 +147,11 @@ def j15(t: Tables) -> DataFrame:
     return r.groupBy("stop", "line").agg(F.min(F.struct("m", "node"))["node"].alias("node"))
 
 
-SETS = "sets AS (SELECT DISTINCT trip % 300 AS g, stop % 120 AS item FROM events WHERE trip % 300 < 60 AND stop % 120 < 40), sz AS (SELECT g, count(*) AS n FROM sets GROUP BY g), ov AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM sets AS a JOIN sets AS b ON a.item = b.item AND a.g < b.g GROUP BY 1, 2)"
+SETS = "sets AS (SELECT DISTINCT trip % 300 AS g, stop % 120 AS item FROM events), sz AS (SELECT g, count(*) AS n FROM sets GROUP BY g), ov AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM sets AS a JOIN sets AS b ON a.item = b.item AND a.g < b.g GROUP BY 1, 2)"
 
 
 def _sets(t: Tables) -> DataFrame:
-    return t.events.select((F.col("trip") % 300).alias("g"), (F.col("stop") % 120).alias("item")).where("g < 60 and item < 40").distinct()
+    return t.events.select((F.col("trip") % 300).alias("g"), (F.col("stop") % 120).alias("item")).distinct()
 
 
 @query("j16_share_match", f"WITH {SETS} SELECT a, b, round(shared / CAST(x.n AS DOUBLE), 6) AS share FROM ov JOIN sz AS x ON x.g = a WHERE shared >= 0.9 * x.n")

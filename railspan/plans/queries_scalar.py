@@ -130,7 +130,7 @@ def a08(t: Tables) -> DataFrame:
 
 # --- folds ---------------------------------------------------------------------------------------------------
 
-CLOCK = "SELECT trip, seq, (arr + trip % 3 * 14400) % 86400 - CASE WHEN stop % 23 = 0 THEN 2000 ELSE 0 END AS arr, (dep + trip % 3 * 14400) % 86400 AS dep FROM events WHERE trip % 5 = 1"
+CLOCK = "SELECT trip, seq, (arr + trip % 3 * 14400) % 86400 - CASE WHEN stop % 23 = 0 THEN 2000 ELSE 0 END AS arr, (dep + trip % 3 * 14400) % 86400 AS dep FROM events"
 
 
 @query(
@@ -143,7 +143,7 @@ SELECT trip, seq, run, a AS arr, d AS dep FROM (SELECT *, count(*) OVER (PARTITI
 )
 def w06(t: Tables) -> DataFrame:
     """Times past midnight unwrapped, runs split where time goes back."""
-    d = t.events.where("trip % 5 = 1").select("trip", "seq", (F.expr("(arr + trip % 3 * 14400) % 86400") - F.when(F.col("stop") % 23 == 0, 2000).otherwise(0)).alias("arr"), F.expr("(dep + trip % 3 * 14400) % 86400").alias("dep"))
+    d = t.events.select("trip", "seq", (F.expr("(arr + trip % 3 * 14400) % 86400") - F.when(F.col("stop") % 23 == 0, 2000).otherwise(0)).alias("arr"), F.expr("(dep + trip % 3 * 14400) % 86400").alias("dep"))
     return folds.unwrapped(d)
 
 
@@ -177,7 +177,7 @@ def r04(t: Tables) -> DataFrame:
     """Two-point ways of a pattern chained by their ends."""
     from ..operators.sequences import adjacent
 
-    d = adjacent(t.events.where("pattern > 0 and trip % 50 = 1"), "trip", "seq", ["stop"]).select("pattern", (F.col("stop") % 60).alias("a"), (F.col("next_stop") % 60).alias("b")).where("a <> b").distinct()
+    d = adjacent(t.events.where("pattern > 0"), "trip", "seq", ["stop"]).select("pattern", (F.col("stop") % 60).alias("a"), (F.col("next_stop") % 60).alias("b")).where("a <> b").distinct()
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         got = folds.stitched([list(w) for w in zip(p["a"].tolist(), p["b"].tolist(), strict=True)])
@@ -189,7 +189,7 @@ def r04(t: Tables) -> DataFrame:
 @query("g14_fold_lines")
 def g14(t: Tables) -> DataFrame:
     """Patterns of a region folded to skeletons that have 70 % of their stations."""
-    d = t.events.where("trip % 40 = 1").select((F.col("trip") % 7).alias("region"), F.col("trip"), (F.col("stop") % 12).alias("s")).groupBy("region", "trip").agg(F.sort_array(F.collect_set("s")).alias("s"))
+    d = t.events.select((F.col("trip") % 7).alias("region"), F.col("trip"), (F.col("stop") % 12).alias("s")).groupBy("region", "trip").agg(F.sort_array(F.collect_set("s")).alias("s"))
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         got = folds.folded_lines([(str(a), set(b.tolist() if hasattr(b, "tolist") else b)) for a, b in zip(p["trip"].tolist(), p["s"].tolist(), strict=True)])
@@ -203,7 +203,7 @@ ROUTES = {"a": [0, 1, 2, 3, 4], "b": [3, 4, 5, 6], "c": [6, 7, 0]}
 
 @query(
     "r05_through_route",
-    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT trip, seq, stop % 8 AS s FROM events WHERE trip % 20 = 1),
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT trip, seq, stop % 8 AS s FROM events),
 p AS MATERIALIZED (SELECT * FROM (VALUES {", ".join(f"('{n}', {s}, {i})" for n, own in ROUTES.items() for i, s in enumerate(own))}) AS v(line, s, pos)),
 e AS MATERIALIZED (SELECT trip, seq, d.s, line, pos, lag(d.s) OVER (PARTITION BY trip, line ORDER BY seq) AS unused FROM d JOIN p ON p.s = d.s),
 r AS (SELECT trip, seq, s, line, pos, CAST(0 AS BIGINT) AS dir, 0 AS changes, 0 AS bare, CAST(line <> 'a' AS INTEGER) AS off, line AS route FROM e WHERE seq = 1
@@ -214,9 +214,10 @@ SELECT n.trip, arg_min(r.route, (r.changes, r.bare, r.off, r.route)) AS route FR
 )
 def r05(t: Tables) -> DataFrame:
     """Lines of a service's stops with the fewest changes."""
-    d = t.events.where("trip % 20 = 1").select("trip", "seq", (F.col("stop") % 8).alias("s"))
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        got = folds.fewest_changes(p["s"].tolist(), ROUTES, "a")
-        return pd.DataFrame({"trip": [p["trip"].iloc[0]], "route": ["".join(got) if got else None]})
+    d = t.events.select("trip", "seq", (F.col("stop") % 8).alias("s"))
+
+    def fold(trip: int, stops: list[int]) -> list[tuple]:
+        got = folds.fewest_changes(stops, ROUTES, "a")
+        return [(trip, "".join(got) if got else None)]
 
-    return folds.by_group(d, "trip", ["seq"], fold, "trip bigint, route string")
+    return folds.by_short_group(d, "trip", "seq", ["s"], fold, "trip bigint, route string")

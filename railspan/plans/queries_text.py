@@ -134,10 +134,10 @@ def x13(t: Tables) -> DataFrame:
     return t.stops.select("stop", F.when(n == "red ring", 3).when(n.startswith("red"), 2).when(n.contains("ring"), 1).otherwise(0).alias("score"))
 
 
-@query("x15_resolve_forms", "SELECT operator AS form, '00' || min(line) AS id, count(*) AS n FROM stops WHERE line < 10 GROUP BY operator")
+@query("x15_resolve_forms", "SELECT operator AS form, '00' || min(line) AS id, count(*) AS n FROM stops GROUP BY operator")
 def x15(t: Tables) -> DataFrame:
     """Aliases resolved to padded identifiers."""
-    d = t.stops.where("line < 10").groupBy(F.col("operator").alias("form")).agg(F.min("line").alias("l"), F.count("*").alias("n"))
+    d = t.stops.groupBy(F.col("operator").alias("form")).agg(F.min("line").alias("l"), F.count("*").alias("n"))
     return d.select("form", F.lpad(F.col("l").cast("string"), 3, "0").alias("id"), "n")
 
 
@@ -165,10 +165,10 @@ def z22(t: Tables) -> DataFrame:
     return t.stops.select("stop", F.split_part("operator", F.lit("#"), F.lit(1)).alias("prefix"), F.split_part("operator", F.lit("#"), F.lit(2)).alias("rest"))
 
 
-@query("z24_neighbour_regions", "SELECT DISTINCT a.operator AS a, b.operator AS b FROM stops AS a JOIN stops AS b ON a.line = b.line AND a.operator < b.operator WHERE a.line < 4")
+@query("z24_neighbour_regions", "SELECT DISTINCT a.operator AS a, b.operator AS b FROM stops AS a JOIN stops AS b ON a.line = b.line AND a.operator < b.operator")
 def z24(t: Tables) -> DataFrame:
     """Regions that share a part."""
-    s = t.stops.where("line < 4").select("line", "operator").distinct()
+    s = t.stops.select("line", "operator").distinct()
     return s.select("line", F.col("operator").alias("a")).join(s.select("line", F.col("operator").alias("b")), "line").where("a < b").select("a", "b").distinct()
 
 
