@@ -20,6 +20,11 @@ DIRECTION_SIGN = "^(.+?)駅.+方面$"
 STATION_TAIL = r"駅[\d０-９\s･・.\-_]+$"
 KOREAN_TAIL = r"(?<=[가-힣])\s*역$|(?<=[가-힣])\s+시$"
 BRACKETS = "[(（].*$"
+COLOUR_FIELD = r"(?:路線色|ラインカラー|ラインの色)\s*=\s*([^\n|}]+)"
+KIND_WORDS = ["各駅停車", "各停", "普通", "新快速", "区間快速", "区間急行", "通勤快速", "通勤急行", "通勤準急", "快速急行", "快速", "準急", "急行", "特急", "直通線?", "直通運転"]
+#: Lowest and highest channel of a colour of lightness 0.42 and saturation 0.62.
+TONE_HIGH = 0.42 * 1.62
+TONE_LOW = 2 * 0.42 - TONE_HIGH
 
 
 def kind_of(name: Column, companies: list[str] | None = None) -> Column:
@@ -32,6 +37,13 @@ def kind_of(name: Column, companies: list[str] | None = None) -> Column:
     return out
 
 
+def says_passing(name: Column, companies: list[str]) -> Column:
+    """Any kind's word but the local one's stands in the name once company names are taken out."""
+    for company in sorted(companies, key=len, reverse=True):
+        name = F.replace(name, F.lit(company), F.lit(""))
+    return name.rlike("|".join(p for label, p in KIND_PATTERNS if label != "각역정차") + "|快特")
+
+
 def _bound(value: Column, body) -> Column:
     """body(value) with value written once in the plan, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -104,3 +116,56 @@ def transliterate(text: Column, chars: dict[str, str], words: dict[str, str], re
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.translate(out, "".join(chars), "".join(chars.values()))
     return F.when(~text.rlike(reject), out)
+
+
+def colour_in_text(text: Column, names: dict[str, str], head: int = 12_000) -> Column:
+    """The line colour that the head of a page's template gives, as lower-case #rrggbb; null without one."""
+    raw = F.trim(F.regexp_extract(F.substring(text, 1, head), COLOUR_FIELD, 1), F.lit("{}| "))
+    found = F.lower(F.regexp_extract(raw, r"#([0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})\b", 1))
+    six = F.when(F.length(found) == 3, F.regexp_replace(found, "(.)(.)(.)", "$1$1$2$2$3$3")).otherwise(found)
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.when(found != "", F.concat(F.lit("#"), six)).otherwise(F.get(F.array(named[F.lower(raw)]), F.lit(0)))
+
+
+def made_up_colour(name: Column) -> Column:
+    """A colour of fixed lightness and saturation whose hue comes from the name's MD5."""
+
+    def channel(d: Column) -> Column:
+        slope = (TONE_HIGH - TONE_LOW) / 60
+        return F.floor(255 * F.when(d < 60, TONE_LOW + slope * d).when(d < 180, TONE_HIGH).when(d < 240, TONE_LOW + slope * (240 - d)).otherwise(TONE_LOW))
+
+    hue = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % 360
+    return _bound(hue, lambda h: F.format_string("#%02x%02x%02x", channel((h + 120) % 360), channel(h), channel((h + 240) % 360)))
+
+
+def without_company(name: Column, heads: list[str]) -> Column:
+    """name without a company at its start, twice at most, the longest first; a name that is all company stays."""
+    pattern = "^(?:" + "|".join(sorted(heads, key=len, reverse=True)) + ")(?=.)[ 　のノ・]*"
+    return F.regexp_replace(F.regexp_replace(F.trim(name), pattern, ""), pattern, "")
+
+
+def line_name_key(name: Column) -> Column:
+    """name without brackets, what follows a colon, spaces and marks."""
+    head = F.get(F.split(F.regexp_replace(F.coalesce(name, F.lit("")), "[（(].*?[）)]", ""), "[:：]"), F.lit(0))
+    return F.regexp_replace(head, r"[\s・･>=→\-–—]", "")
+
+
+def name_score(a: Column, b: Column, heads: list[str]) -> Column:
+    """How alike two line names are: 3 equal keys, 2 equal without companies, 1 the first inside the second, else 0."""
+    ka, kb = line_name_key(a), line_name_key(b)
+    sa, sb = without_company(ka, heads), without_company(kb, heads)
+    inside = kb.contains(ka) | ((sa != "") & sb.contains(sa))
+    return F.when((ka == "") | (kb == ""), 0).when(ka == kb, 3).when((sa != "") & (sa == sb), 2).when(inside, 1).otherwise(0)
+
+
+def place_forms(name: Column) -> Column:
+    """Spellings that a place name is looked up by: as written, lower case, without a Japanese or Korean area suffix."""
+    n = F.trim(name)
+    return F.array_distinct(F.array(n, F.lower(n), F.regexp_replace(n, "[都府県]$", ""), F.regexp_replace(n, "[현부도]$", "")))
+
+
+def is_service_pattern(name: Column, companies: list[str], heads: list[str]) -> Column:
+    """The name is a way of running, not a line: through running, or nothing but a kind once companies are gone."""
+    core = F.get(F.split(F.regexp_replace(F.trim(name), "[（(][^）)]*[）)]", ""), "[:：]"), F.lit(0))
+    core = without_company(F.regexp_replace(core, "|".join(sorted(companies, key=len, reverse=True)), ""), heads)
+    return name.contains("直通運転") | F.trim(core, F.lit(" 　-–—・")).rlike("^(?:" + "|".join(KIND_WORDS) + ")$")

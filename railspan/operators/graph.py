@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -177,3 +178,44 @@ def _closed(out: dict[tuple[int, int], list[tuple[int, int]]]) -> Iterator[list[
             if at == start:
                 break
         yield ring
+
+
+def corridor_paths(paths: DataFrame, corridor: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, pos, cell): the least-cost way of each path (path, src, dst) over edges whose ends lie in its corridor (path, cell).
+
+    Of equal ways the one whose cells, read back from the end, are least. A path without a way is left out. What a search holds is
+    one corridor; the edges reach it by two equi-joins, and searches run a batch at a time.
+    """
+    inside = corridor.select("path", "cell").distinct()
+    e = inside.join(edges, F.col("cell") == F.col("src")).select("path", "src", "dst", "sec")
+    e = e.join(inside.withColumnRenamed("cell", "dst"), ["path", "dst"])
+    nets = e.groupBy("path").agg(F.collect_list("src").alias("a"), F.collect_list("dst").alias("b"), F.collect_list("sec").alias("sec"))
+    work = nets.join(paths.select("path", F.col("src").alias("first"), F.col("dst").alias("last")), "path")
+
+    def walk(first: int, last: int, a: list[int], b: list[int], sec: list[int]) -> list[int]:
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for u, v, c in zip(a, b, sec, strict=True):
+            out[u].append((v, c))
+        best, back, heap = {first: 0}, {}, [(0, first)]
+        while heap:
+            d, at = heapq.heappop(heap)
+            if d > best[at]:
+                continue
+            for v, c in out.get(at, ()):
+                if (d + c, at) < (best.get(v, math.inf), back.get(v, -1)):
+                    if d + c < best.get(v, math.inf):
+                        heapq.heappush(heap, (d + c, v))
+                    best[v], back[v] = d + c, at
+        if last not in best:
+            return []
+        way = [last]
+        while way[-1] != first:
+            way.append(back[way[-1]])
+        return way[::-1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = [(path, i, cell) for path, first, last, a, b, s in zip(p["path"], p["first"], p["last"], p["a"], p["b"], p["sec"], strict=True) for i, cell in enumerate(walk(first, last, a.tolist(), b.tolist(), s.tolist()))]
+            yield pd.DataFrame(rows, columns=["path", "pos", "cell"])
+
+    return work.select("path", "first", "last", "a", "b", "sec").mapInPandas(run, "path bigint, pos bigint, cell bigint")

@@ -184,13 +184,21 @@ def g12(t: Tables) -> DataFrame:
     return c.groupBy("tx", "ty").agg(F.count_if(core).alias("core"), F.count("*").alias("with_halo"))
 
 
-@query("g13_line_ends", "WITH e AS (SELECT DISTINCT line, first_value(stop) OVER w AS a, last_value(stop) OVER w AS b FROM stops WINDOW w AS (PARTITION BY line ORDER BY stop ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), x AS (SELECT a AS stop FROM e UNION SELECT b FROM e), n AS (SELECT stop, min(m) AS m FROM (SELECT a AS stop, m FROM near UNION ALL SELECT b, m FROM near) GROUP BY stop) SELECT x.stop, round(least(greatest(coalesce(m, 1000) / 2, 100), 400), 3) AS radius FROM x LEFT JOIN n ON n.stop = x.stop")
+@query(
+    "g13_line_ends",
+    """WITH o AS (SELECT line, stop, stop % 1850 AS g, row_number() OVER (PARTITION BY line ORDER BY stop) AS up, row_number() OVER (PARTITION BY line ORDER BY stop DESC) AS down, count(*) OVER (PARTITION BY line) AS n FROM stops),
+e AS (SELECT DISTINCT g FROM o WHERE n >= 2 AND (up = 1 OR down = 1) AND g NOT IN (SELECT g FROM o WHERE up > 1 AND down > 1)), d AS (SELECT stop, min(m) AS m FROM (SELECT a AS stop, m FROM near UNION ALL SELECT b, m FROM near) GROUP BY stop)
+SELECT e.g, round(least(greatest(coalesce(min(d.m), 1000) / 2, 100), 400), 3) AS radius FROM e JOIN o ON o.g = e.g LEFT JOIN d ON d.stop = o.stop GROUP BY e.g""",
+)
 def g13(t: Tables) -> DataFrame:
-    """Ends of lines with half the distance to the nearest neighbour, clipped."""
-    e = t.stops.groupBy("line").agg(F.min("stop").alias("a"), F.max("stop").alias("b"))
-    x = e.select(F.col("a").alias("stop")).union(e.select("b")).distinct()
-    n = t.near.select(F.col("a").alias("stop"), "m").union(t.near.select("b", "m")).groupBy("stop").agg(F.min("m").alias("m"))
-    return x.join(n, "stop", "left").select("stop", F.round(F.least(F.greatest(F.coalesce("m", F.lit(1000.0)) / 2, F.lit(100.0)), F.lit(400.0)), 3).alias("radius"))
+    """Stations that end a line and are no line's middle, with half the distance to their nearest neighbour, clipped."""
+    w = W.partitionBy("line")
+    place = F.row_number().over(w.orderBy("stop"))
+    o = t.stops.select("line", "stop", (F.col("stop") % 1850).alias("g"), place.alias("at"), F.count("*").over(w).alias("n"))
+    ends, middles = o.where("n >= 2 and at in (1, n)").select("g").distinct(), o.where("at > 1 and at < n").select("g")
+    m = t.near.select(F.col("a").alias("stop"), "m").union(t.near.select("b", "m")).groupBy("stop").agg(F.min("m").alias("m"))
+    own = o.select("g", "stop").join(ends.join(middles, "g", "left_anti"), "g", "left_semi").join(m, "stop", "left").groupBy("g").agg(F.min("m").alias("m"))
+    return own.select("g", F.round(F.least(F.greatest(F.coalesce("m", F.lit(1000.0)) / 2, F.lit(100.0)), F.lit(400.0)), 3).alias("radius"))
 
 
 # --- fields -------------------------------------------------------------------------------------------------
@@ -228,12 +236,17 @@ def t07(t: Tables) -> DataFrame:
     return spread(field(t)).select(band.alias("minutes")).groupBy("minutes").agg(F.count("*").alias("cells")).orderBy(F.col("minutes").desc())
 
 
-@query("r12_contours", f"WITH {SPREAD} SELECT minutes, CAST(count(*) AS DOUBLE) AS area FROM grown, (VALUES {', '.join(f'({b})' for b in BANDS)}) AS b(minutes) WHERE sec <= minutes GROUP BY minutes")
+@query(
+    "r12_contours",
+    f"""WITH {SPREAD}, b AS (SELECT cell, minutes FROM grown, (VALUES {', '.join(f'({b})' for b in BANDS)}) AS b(minutes) WHERE sec <= minutes), n AS (SELECT minutes, count(*) AS n FROM b GROUP BY minutes),
+shared AS (SELECT x.minutes, count(*) AS n FROM (SELECT minutes, unnest([cell + 1, cell + 1000]) AS cell FROM b) AS x JOIN b ON b.minutes = x.minutes AND b.cell = x.cell GROUP BY x.minutes)
+SELECT n.minutes, CAST(n.n AS DOUBLE) AS area, 4 * n.n - 2 * coalesce(shared.n, 0) AS sides FROM n LEFT JOIN shared USING (minutes)""",
+)
 def r12(t: Tables) -> DataFrame:
-    """Rings around each band; the signed areas of rings and holes add up to the band's cells."""
+    """Rings around each band: the signed areas of rings and holes add up to its cells, their lengths to the sides without a neighbour."""
     band = F.explode(F.filter(F.array(*[F.lit(b) for b in BANDS]), lambda b: b >= F.col("sec")))
     c = spread(field(t)).select((F.floor((F.col("cell") + 500) / 1000)).alias("x"), F.col("cell"), band.alias("minutes")).withColumn("y", F.col("cell") - F.col("x") * 1000)
-    return graph.contour(c.select("x", "y", "minutes"), "minutes").groupBy("minutes").agg(F.sum("area").alias("area"))
+    return graph.contour(c.select("x", "y", "minutes"), "minutes").groupBy("minutes").agg(F.sum("area").alias("area"), F.sum("points").alias("sides"))
 
 
 @query("r18_closing", "WITH l AS (SELECT x, y FROM cells WHERE land), o AS (SELECT i, j FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(i, j)), dil AS (SELECT DISTINCT x + i AS x, y + j AS y FROM l, o) SELECT x, y FROM (SELECT d.x, d.y, count(*) AS n FROM dil AS d, o JOIN dil AS e ON e.x = d.x + o.i AND e.y = d.y + o.j GROUP BY d.x, d.y) WHERE n = 5")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import geo
+from ..functions import geo, tags
 from ..operators import sequences as S
 from ..registry import query
 from ..sources.bindings import BUDGET, DEPART, Tables
@@ -50,10 +50,10 @@ def s07(t: Tables) -> DataFrame:
     return d.where(F.element_at(F.split("id", r"\."), -1) == "A").groupBy("id").agg(F.max("n").alias("n"))
 
 
-@query("s11_walkable", "SELECT event_id FROM rides WHERE event_type IN ('click', 'view', 'purchase') AND NOT (event_id % 7 = 0 OR user_id % 5 = 0)")
+@query("s11_walkable", "SELECT way, highway = 'steps' AS steps FROM tagged_ways WHERE highway IN ('footway', 'steps', 'residential', 'cycleway') AND coalesce(foot, '') NOT IN ('no', 'private') AND NOT (coalesce(access, '') IN ('no', 'private') AND foot IS NULL)")
 def s11(t: Tables) -> DataFrame:
-    """Ways of walkable kinds without an access ban (P10)."""
-    return t.rides.where(F.col("event_type").isin("click", "view", "purchase") & ~((F.col("event_id") % 7 == 0) | (F.col("user_id") % 5 == 0))).select("event_id")
+    """Ways of walkable kinds without a ban; a foot tag outweighs an access ban."""
+    return t.tagged_ways.where(tags.walkable()).select("way", (F.col("highway") == "steps").alias("steps"))
 
 
 @query("s14_densify", "SELECT trip, seq, k, s0 + (s1 - s0) * k / n AS pos FROM (SELECT trip, seq, arr AS s0, lead(arr) OVER (PARTITION BY trip ORDER BY seq) AS s1, CAST(ceil((lead(arr) OVER (PARTITION BY trip ORDER BY seq) - arr) / 40.0) AS BIGINT) AS n FROM events), LATERAL (SELECT unnest(range(0, n)) AS k) WHERE s1 IS NOT NULL AND n > 0")

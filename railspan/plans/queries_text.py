@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, tags
 from ..registry import query
 from ..sources.bindings import Tables
 
@@ -39,21 +39,52 @@ def _sql_kind(v: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+def _sql_without(text: str) -> str:
+    for c in sorted(COMPANIES, key=len, reverse=True):
+        text = f"replace({text}, '{c}', '')"
+    return text
+
+
 @query("p14_kind_of", f"SELECT stop, {_sql_kind('v')} AS kind FROM {_sql_picked(SAMPLES)}")
 def p14(t: Tables) -> DataFrame:
     """Kind of service by ordered patterns, company names taken out."""
     return _picked(t, SAMPLES).select("stop", names.kind_of(F.col("v"), COMPANIES).alias("kind"))
 
 
-@query("p15_passing", f"SELECT stop, regexp_matches(replace(v, '智頭急行', ''), '急行|快速|特急|準急') AS passing FROM {_sql_picked(SAMPLES)}")
+SERVICES = ["新快速", "相鉄直通線", "東武準急", "京王線", "直通運転 A - B", "JR東日本特急", "快速 (土休日)：高尾", "富士急行線", "小田急の通勤急行", "各停"]
+OWNERS, HEADS = ["JR東日本", "東京メトロ"], ["東武", "相鉄", "小田急", "京王", "京王電鉄"]
+STRIP_HEAD = "^(?:京王電鉄|小田急|東武|相鉄|京王)[ 　のノ・]*(.+)$"
+CORE = f"trim(regexp_replace(regexp_replace(regexp_replace(string_split_regex(regexp_replace(v, '[（(][^）)]*[)）]', '', 'g'), '[:：]')[1], 'JR東日本|東京メトロ', '', 'g'), '{STRIP_HEAD}', '\\1'), '{STRIP_HEAD}', '\\1'))"
+
+
+@query("p15_passing", f"SELECT stop, regexp_matches({_sql_without('v')}, '特急|Limited Express|快速|特快|通勤急行|通勤準急|区間急行|マリンライナー|急行($|[^電鉄線])|準急|快特') AS passing FROM {_sql_picked(SAMPLES)}")
 def p15(t: Tables) -> DataFrame:
-    return _picked(t, SAMPLES).select("stop", F.replace("v", F.lit("智頭急行"), F.lit("")).rlike("急行|快速|特急|準急").alias("passing"))
+    """Names that say that a train passes stations: any kind but the local one; company names don't count."""
+    return _picked(t, SAMPLES).select("stop", names.says_passing(F.col("v"), COMPANIES).alias("passing"))
+
+
+@query("p15_service_pattern", f"SELECT stop, contains(v, '直通運転') OR regexp_matches({CORE}, '^(?:{'|'.join(names.KIND_WORDS)})$') AS pattern FROM {_sql_picked(SERVICES)}")
+def p15_pattern(t: Tables) -> DataFrame:
+    """Names that are a way of running and not a line."""
+    return _picked(t, SERVICES).select("stop", names.is_service_pattern(F.col("v"), OWNERS, HEADS).alias("pattern"))
 
 
-@query("p11_not_train", "SELECT event_id, (event_type = 'error' OR user_id % 9 = 0 OR value > 90) AS not_train FROM rides")
+NOT_TRAIN = "(coalesce(bus = 'yes', false) OR coalesce(highway = 'bus_stop', false) OR coalesce(ferry = 'yes', false) OR aerialway IS NOT NULL OR coalesce(amenity IN ('bus_station', 'ferry_terminal'), false))"
+
+
+@query("p11_not_train", f"SELECT stop, {NOT_TRAIN} AS not_train FROM tagged_nodes")
 def p11(t: Tables) -> DataFrame:
-    """Stops of buses, ferries and cable cars by any of several tags."""
-    return t.rides.select("event_id", ((F.col("event_type") == "error") | (F.col("user_id") % 9 == 0) | (F.col("value") > 90)).alias("not_train"))
+    """Stops of buses, ferries and cable cars by any of their tags."""
+    return t.tagged_nodes.select("stop", tags.not_train().alias("not_train"))
+
+
+@query(
+    "p12_station_nodes",
+    f"SELECT stop, coalesce(railway IN ('station', 'halt') AND coalesce(usage, '') NOT IN ('tourism', 'training', 'military', 'test', 'industrial') AND monorail IS DISTINCT FROM 'yes' AND NOT ends_with(name, '信号場'), false) AS passenger FROM tagged_nodes WHERE railway IN ('station', 'halt', 'tram_stop') OR (public_transport IN ('station', 'stop_position') AND NOT {NOT_TRAIN})",
+)
+def p12(t: Tables) -> DataFrame:
+    """Nodes that lines stop at, and which of them may fill a gap of a line."""
+    return t.tagged_nodes.where(tags.stop_node()).select("stop", tags.passenger_station().alias("passenger"))
 
 
 @query("x01_clean_station_name", f"SELECT stop, {('[' + ', '.join(repr(c) for c in CLEANED) + ']')}[CAST(stop % {len(CLEANED)} + 1 AS INT)] AS name FROM stops")
@@ -115,36 +146,106 @@ def x10(t: Tables) -> DataFrame:
     return _picked(t, COLOURS).select("stop", names.hex_colour(F.col("v"), {"red": "#FF0000", "blue": "#0000FF"}).alias("colour"))
 
 
-@query("x11_colour_in_text", "SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links FROM pages")
+FIELDS = ["#0F8", "#12aBcd", "{{red}}", "Skyblue", "#12345", "", "[[#09c]] & #fff"]
+NAMED = {"red": "#ff0000", "skyblue": "#87ceeb", "navy": "#000080"}
+WIKI_SQL = f"SELECT stop, '{{{{鉄道路線|路線名=' || stop || chr(10) || CASE WHEN stop % 2 = 0 THEN '|路線色 = ' ELSE '|ラインカラー=' END || v || chr(10) || '|開業=1901}}}}' AS text FROM {_sql_picked(FIELDS)}"
+FIELD_SQL = "trim(regexp_extract(text, '(?:路線色|ラインカラー|ラインの色)\\s*=\\s*([^\\n|}]+)', 1), '{}| ')"
+
+
+@query("x11_colour_in_text", f"SELECT stop, CASE WHEN length(h) = 6 THEN '#' || h WHEN length(h) = 3 THEN '#' || h[1] || h[1] || h[2] || h[2] || h[3] || h[3] WHEN lower(raw) = 'red' THEN '#ff0000' WHEN lower(raw) = 'skyblue' THEN '#87ceeb' WHEN lower(raw) = 'navy' THEN '#000080' END AS colour FROM (SELECT stop, raw, lower(regexp_extract(raw, '#([0-9A-Fa-f]{{6}}|[0-9A-Fa-f]{{3}})\\b', 1)) AS h FROM (SELECT stop, {FIELD_SQL} AS raw FROM ({WIKI_SQL})))")
 def x11(t: Tables) -> DataFrame:
-    """Attributes found in page text."""
-    return t.raw("pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).cast("bigint").alias("links"))
+    """The line colour that a page's template gives: hex of three or six digits, or a colour's name."""
+    text = F.concat(F.lit("{{鉄道路線|路線名="), F.col("stop").cast("string"), F.when(F.col("stop") % 2 == 0, "\n|路線色 = ").otherwise("\n|ラインカラー="), "v", F.lit("\n|開業=1901}}"))
+    return _picked(t, FIELDS).select("stop", names.colour_in_text(text, NAMED).alias("colour"))
 
 
-@query("x12_table_cells", "SELECT page_id, count(*) AS cells, max(length(c)) AS longest FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS c FROM pages) GROUP BY page_id")
+@query(
+    "x12_station_tables",
+    "SELECT line, kind, k AS column, pos, 'S' || stop || '駅' AS station FROM (SELECT line, stop, row_number() OVER (PARTITION BY line ORDER BY stop) + 1 AS pos FROM stops), (VALUES ('特急', 0, 3), ('急行', 1, 2), ('特急', 2, 5)) AS v(kind, k, every) WHERE stop % every = 0",
+)
 def x12(t: Tables) -> DataFrame:
-    """Cells of marked-up lists."""
-    d = t.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), 1)).alias("c"))
-    return d.groupBy("page_id").agg(F.count("*").alias("cells"), F.max(F.length("c")).alias("longest"))
+    """Stopping patterns read back from station tables as wiki pages mark them up."""
+    from ..functions.wikitable import stopping_patterns
+
+    mark = lambda every, yes, no: F.when(F.col("stop") % every == 0, yes).otherwise(no)
+    link = F.when(F.col("stop") % 4 == 0, F.format_string("[[S%d駅]]", "stop")).otherwise(F.format_string("[[町 (%d)|S%d駅]]", "stop", "stop"))
+    first = F.when(F.col("stop") % 7 == 0, F.concat(F.lit('| style="width:1em"|'), link)).otherwise(F.concat(F.lit("|"), link))
+    row = F.concat(first, F.lit("\n|"), mark(3, "●", "｜"), F.lit("||"), mark(2, "○", "レ"), F.lit("||"), mark(5, "▲", "｜"))
+    rows = F.array_sort(F.collect_list(F.struct("stop", row.alias("r"))))
+    head = "[[#駅一覧]]\n== 駅一覧 ==\n{| class=\"wikitable\"\n|-\n!駅名||特急||{{縦書き|急行}}\n!特急〈A〉\n|-\n"
+    pages = t.stops.groupBy("line").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda x: x["r"]), "\n|-\n"), F.lit("\n|}\nend")).alias("text"))
+    return stopping_patterns(pages, "line", "text")
 
 
-@query("x13_name_score", "SELECT stop, CASE WHEN name = 'red ring' THEN 3 WHEN starts_with(name, 'red') THEN 2 WHEN contains(name, 'ring') THEN 1 ELSE 0 END AS score FROM stops")
+TITLES, OTHERS = ["東武本線", "東武 本線", "相鉄本線", "京王線 (新線)", "本線：支線", "", "小田急の江ノ島線"], ["本線", "東武本線", "京王電鉄京王線", "江ノ島線", "本線・支線 - A", "相鉄直通線", "京王線"]
+
+
+def _sql_line_key(v: str) -> str:
+    return f"regexp_replace(string_split_regex(regexp_replace({v}, '[（(].*?[）)]', '', 'g'), '[:：]')[1], '[\\s・･>=→\\-–—]', '', 'g')"
+
+
+def _sql_headless(v: str) -> str:
+    return f"regexp_replace(regexp_replace({v}, '{STRIP_HEAD}', '\\1'), '{STRIP_HEAD}', '\\1')"
+
+
+@query(
+    "x13_name_score",
+    f"""WITH k AS (SELECT x.stop, {_sql_line_key("x.v")} AS a, {_sql_line_key("y.v")} AS b FROM {_sql_picked(TITLES)} AS x JOIN (SELECT stop, v FROM {_sql_picked(OTHERS).replace("stop % 7", "(stop // 7) % 7")}) AS y ON x.stop = y.stop), s AS (SELECT *, {_sql_headless("a")} AS sa, {_sql_headless("b")} AS sb FROM k)
+SELECT stop, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 3 WHEN sa <> '' AND sa = sb THEN 2 WHEN contains(b, a) OR (sa <> '' AND contains(sb, sa)) THEN 1 ELSE 0 END AS score FROM s""",
+)
 def x13(t: Tables) -> DataFrame:
-    n = F.col("name")
-    return t.stops.select("stop", F.when(n == "red ring", 3).when(n.startswith("red"), 2).when(n.contains("ring"), 1).otherwise(0).alias("score"))
+    """How alike a page's title and a line's name are, company names aside."""
+    other = F.element_at(F.array(*[F.lit(v) for v in OTHERS]), (F.floor(F.col("stop") / 7) % 7 + 1).cast("int"))
+    return _picked(t, TITLES).select("stop", names.name_score(F.col("v"), other, HEADS).alias("score"))
+
 
+# Fixed values: (code, Japanese, Korean, English) of areas.
+AREAS = [(12, "千葉県", "지바", "Chiba"), (13, "東京都", "도쿄", "Tokyo"), (14, "神奈川県", "가나가와", "Kanagawa"), (26, "京都府", "교토", "Kyoto"), (27, "大阪府", "오사카", "Osaka")]
+ASKED = ["東京", " Tokyo", "도쿄도", "大阪府", "osaka", "오사카부", "교토", "Atlantis", "千葉", "神奈川県"]
+AREA_SQL = ", ".join(f"({c}, '{ja}', '{ko}', '{en}')" for c, ja, ko, en in AREAS)
 
-@query("x15_resolve_forms", "SELECT operator AS form, '00' || min(line) AS id, count(*) AS n FROM stops GROUP BY operator")
+
+@query(
+    "x15_resolve_forms",
+    f"""WITH a AS (SELECT code, unnest(list_distinct([ja, regexp_replace(ja, '[都府県]$', ''), ko, lower(en)])) AS form FROM (VALUES {AREA_SQL}) AS v(code, ja, ko, en)),
+w AS (SELECT s.stop, s.line, unnest(list_distinct([trim(v), lower(trim(v)), regexp_replace(trim(v), '[都府県]$', ''), regexp_replace(trim(v), '[현부도]$', '')])) AS form FROM {_sql_picked(ASKED)} AS p JOIN stops AS s ON s.stop = p.stop)
+SELECT line, 'custom_' || string_agg(lpad(CAST(code AS VARCHAR), 2, '0'), '_' ORDER BY code) AS combo FROM (SELECT DISTINCT line, code FROM w JOIN a USING (form)) GROUP BY line""",
+)
 def x15(t: Tables) -> DataFrame:
-    """Aliases resolved to padded identifiers."""
-    d = t.stops.groupBy(F.col("operator").alias("form")).agg(F.min("line").alias("l"), F.count("*").alias("n"))
-    return d.select("form", F.lpad(F.col("l").cast("string"), 3, "0").alias("id"), "n")
+    """Area names in any spelling resolved to codes by an equi-join on forms; the id of each line's combination."""
+    area = t.spark.createDataFrame(AREAS, "code int, ja string, ko string, en string")
+    forms = area.select("code", F.explode(F.array_distinct(F.array("ja", F.regexp_replace("ja", "[都府県]$", ""), "ko", F.lower("en")))).alias("form"))
+    asked = _picked(t, ASKED).join(t.stops.select("stop", "line"), "stop").select("line", F.explode(names.place_forms(F.col("v"))).alias("form"))
+    codes = asked.join(forms, "form").groupBy("line").agg(F.array_sort(F.collect_set("code")).alias("c"))
+    return codes.select("line", F.concat(F.lit("custom_"), F.array_join(F.transform("c", lambda c: F.lpad(c.cast("string"), 2, "0")), "_")).alias("combo"))
+
+
+def _sql_channel(shift: int) -> str:
+    d, low, high = f"((h + {shift}) % 360)", f"{names.TONE_LOW!r}e0", f"{names.TONE_HIGH!r}e0"
+    return f"CAST(floor(255 * CASE WHEN {d} < 60 THEN {low} + ({high} - {low}) / 60 * {d} WHEN {d} < 180 THEN {high} WHEN {d} < 240 THEN {low} + ({high} - {low}) / 60 * (240 - {d}) ELSE {low} END) AS INTEGER)"
+
+
+@query("m12_made_up_colour", f"SELECT stop, printf('#%02x%02x%02x', {_sql_channel(120)}, {_sql_channel(0)}, {_sql_channel(240)}) AS colour FROM (SELECT stop, CAST('0x' || substr(md5(name), 1, 8) AS BIGINT) % 360 AS h FROM stops)")
+def m12(t: Tables) -> DataFrame:
+    """A colour made from a name: the hue from its hash, lightness and saturation fixed."""
+    return t.stops.select("stop", names.made_up_colour(F.col("name")).alias("colour"))
+
+
+LINE_TABLE, NAME_TABLE = {"Brand#11|3": "#aa0000", "Brand#23|9": "0a0"}, {"3": "#123456", "17": "abc"}
 
 
-@query("x16_colour_chain", "SELECT stop, coalesce(CASE WHEN size > 40 THEN '#AA0000' END, CASE WHEN kind = 'SMALL' THEN '#00AA00' END, '#' || upper(substr(md5(operator), 1, 6))) AS colour FROM stops")
+@query(
+    "x16_colour_chain",
+    """WITH c AS (SELECT stop, CASE operator || '|' || line WHEN 'Brand#11|3' THEN '#AA0000' WHEN 'Brand#23|9' THEN '#00AA00' END AS a, CASE line WHEN 3 THEN '#123456' WHEN 17 THEN '#AABBCC' END AS b, CASE WHEN size % 10 = 1 THEN '#' || printf('%06d', size * 1000) END AS c, CASE WHEN size % 10 = 2 THEN '#BB22' || printf('%02d', size) END AS d FROM stops)
+SELECT stop, coalesce(a, b, c, d, '#888888') AS colour FROM c""",
+)
 def x16(t: Tables) -> DataFrame:
-    """Colour by line, by kind, else one made up from a hash."""
-    return t.stops.select("stop", F.coalesce(F.when(F.col("size") > 40, "#AA0000"), F.when(F.col("kind") == "SMALL", "#00AA00"), F.concat(F.lit("#"), F.upper(F.substring(F.md5("operator"), 1, 6)))).alias("colour"))
+    """A line's colour: the table's entry for line and company, for the line, the tags color and colour, else grey. Values that are no colour are passed over."""
+    pick = lambda table, key: F.get(F.array(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]), F.lit(0))
+    color = F.when(F.col("size") % 10 == 1, F.lpad((F.col("size") * 1000).cast("string"), 6, "0")).when(F.col("size") % 10 == 3, "none")
+    colour = F.when(F.col("size") % 10 == 2, F.concat(F.lit("#bb22"), F.lpad(F.col("size").cast("string"), 2, "0")))
+    found = [pick(LINE_TABLE, F.concat_ws("|", "operator", "line")), pick(NAME_TABLE, F.col("line").cast("string")), color, colour]
+    return t.stops.select("stop", F.coalesce(*[names.hex_colour(v, {}) for v in found], F.lit("#888888")).alias("colour"))
 
 
 @query("z02_pattern_of_event", "SELECT trip, seq, CASE WHEN pattern = -1 THEN '' ELSE 'pattern ' || pattern END AS pattern FROM events")

@@ -35,6 +35,11 @@ VIEWS = {
     "cells": f"""SELECT x, y, x * 1000 + y AS cell, ((x * 31 + y * 17) % 7 <> 0) AS land FROM (SELECT i % {2 * GRID} AS x, i // {2 * GRID} AS y FROM (SELECT unnest(range(0, {4 * GRID * GRID})) AS i))""",
     "walk_edges": """SELECT a.cell AS src, b.cell AS dst, CAST(60 + (a.x * 7 + a.y * 13 + b.x * 7 + b.y * 13) % 50 AS BIGINT) AS sec
   FROM (SELECT cell, x, y, x + dx AS nx, y + dy AS ny FROM cells, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy) WHERE land) AS a JOIN cells AS b ON b.x = a.nx AND b.y = a.ny AND b.land""",
+    "tagged_nodes": """SELECT stop, name, CASE stop % 5 WHEN 0 THEN 'station' WHEN 1 THEN 'halt' WHEN 2 THEN 'tram_stop' END AS railway, CASE stop % 3 WHEN 0 THEN 'station' WHEN 1 THEN 'stop_position' END AS public_transport,
+  CASE WHEN stop % 7 = 0 THEN 'yes' END AS bus, CASE WHEN stop % 11 = 0 THEN 'bus_stop' END AS highway, CASE WHEN stop % 13 = 0 THEN 'yes' END AS ferry, CASE WHEN stop % 17 = 0 THEN 'gondola' END AS aerialway,
+  CASE stop % 19 WHEN 0 THEN 'bus_station' WHEN 1 THEN 'ferry_terminal' END AS amenity, CASE stop % 23 WHEN 0 THEN 'training' WHEN 1 THEN 'main' WHEN 2 THEN 'tourism' END AS usage, CASE WHEN stop % 29 = 0 THEN 'yes' END AS monorail FROM stops""",
+    "tagged_ways": """SELECT o_orderkey AS way, CASE o_orderkey % 7 WHEN 0 THEN 'footway' WHEN 1 THEN 'steps' WHEN 2 THEN 'motorway' WHEN 3 THEN 'residential' WHEN 4 THEN 'cycleway' END AS highway,
+  CASE o_orderkey % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'private' END AS foot, CASE o_orderkey % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'no' END AS access, CASE WHEN o_orderkey % 9 = 0 THEN 'coastline' END AS shore FROM orders""",
     "rides": "SELECT event_id, user_id, event_type, value, ts FROM events_raw",
 }
 
@@ -123,6 +128,18 @@ class Tables:
         out = out.join(land.select("x", "y", F.col("cell").alias("dst")), ["x", "y"])
         return out.select("src", "dst", (60 + (F.col("ax") * 7 + F.col("ay") * 13 + F.col("x") * 7 + F.col("y") * 13) % 50).cast("bigint").alias("sec"))
 
+    @cached_property
+    def tagged_nodes(self) -> DataFrame:
+        return self._bound("tagged_nodes", self.stops)
+
+    @cached_property
+    def tagged_ways(self) -> DataFrame:
+        return self._bound("tagged_ways", self.raw("orders"))
+
+    def _bound(self, view: str, source: DataFrame) -> DataFrame:
+        """A view whose formulas read one table and are the same in Spark's SQL."""
+        return source.sparkSession.sql(re.sub(r" FROM \w+$", " FROM {source}", VIEWS[view]), source=source)
+
     @cached_property
     def rides(self) -> DataFrame:
         return self.raw("events").select("event_id", "user_id", "event_type", "value", "ts")
