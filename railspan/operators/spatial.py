@@ -2,7 +2,8 @@
 
 The bucket width is the radius, so partners lie in the 3 x 3 neighbourhood: one side is copied to nine
 buckets, an equi-join on the bucket follows, and the exact distance is the residual. There is no cross join,
-and a dense bucket is split by AQE's skew handling.
+and a dense bucket is split by AQE's skew handling. The copied side is never broadcast: Spark guesses its size from
+the file, without the nine copies.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     gx, gy = _bucket(F.col("rlon"), F.col("rlat"), radius)
     b = _around(right.where("not isnan(rlon) and not isnan(rlat)").withColumns({"_gx": gx, "_gy": gy}))
     m = flat_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat"))
-    return a.join(b, ["_gx", "_gy"]).withColumn("m", m).where(F.col("m") <= radius).drop("_gx", "_gy")
+    return a.join(b.hint("merge"), ["_gx", "_gy"]).withColumn("m", m).where(F.col("m") <= radius).drop("_gx", "_gy")
 
 
 def radius_pairs(points: DataFrame, key: str, radius: float) -> DataFrame:
@@ -39,6 +40,12 @@ def radius_pairs(points: DataFrame, key: str, radius: float) -> DataFrame:
     return radius_join(points.select(F.col(key).alias("a"), "lon", "lat"), right, radius).where("a < b").select("a", "b", "m")
 
 
+def neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """(key, n): how many points of another key lie within radius metres, for points with any. One join counts each pair at both ends."""
+    right = points.select(F.col(key).alias("_b"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
+    return radius_join(points.select(key, "lon", "lat"), right, radius).where(F.col(key) != F.col("_b")).groupBy(key).agg(F.count("*").alias("n"))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float) -> DataFrame:
     """(key, right_key, m): the nearest right row within radius metres of each left row, the least right_key on ties; null without one."""
     best = radius_join(left.select(key, "lon", "lat"), right, radius).groupBy(key).agg(F.min(F.struct("m", right_key)).alias("_b"))

@@ -125,7 +125,7 @@ def r16(t: Tables) -> DataFrame:
 
 @query("a08_density", "SELECT stop, count(*) AS n FROM (SELECT a AS stop FROM near UNION ALL SELECT b FROM near) GROUP BY stop")
 def a08(t: Tables) -> DataFrame:
-    return t.near.select(F.col("a").alias("stop")).union(t.near.select("b")).groupBy("stop").agg(F.count("*").alias("n"))
+    return t.density
 
 
 # --- folds ---------------------------------------------------------------------------------------------------

@@ -100,6 +100,13 @@ class Tables:
 
         return radius_pairs(self.stops.select("stop", "lon", "lat"), "stop", 1000.0).select("a", "b", "m")
 
+    @cached_property
+    def density(self) -> DataFrame:
+        """(stop, n): stops within the radius of near, for stops with any."""
+        from ..operators.spatial import neighbours
+
+        return neighbours(self.stops.select("stop", "lon", "lat"), "stop", 1000.0)
+
     @cached_property
     def transfers(self) -> DataFrame:
         from ..functions.geo import walk_cost

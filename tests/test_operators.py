@@ -21,6 +21,22 @@ def test_radius_pairs_equal_brute_force(spark):
     assert got == {(p[0], q[0]) for p in points for q in points if p[0] < q[0] and dist(p, q) <= 700}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_join_never_broadcasts_the_copies(spark):
+    """Nine copies of a table that looks small in its file filled the driver."""
+    rng = random.Random(5)
+    points = [(i, 139.7 + rng.random() * 0.05, 35.6 + rng.random() * 0.05) for i in range(200)] + [(900, float("nan"), 35.6), (901, None, 35.6)]
+    d = spark.createDataFrame(points, "k long, lon double, lat double")
+    counted = spatial.neighbours(d, "k", 700.0)
+    assert "Broadcast" not in plan_of(spatial.radius_pairs(d, "k", 700.0)) + plan_of(counted)
+    dist = lambda p, q: math.hypot((p[1] - q[1]) * geo.KX, (p[2] - q[2]) * geo.KY)
+    want = {p[0]: sum(p[0] != q[0] and dist(p, q) <= 700 for q in points[:200]) for p in points[:200]}
+    assert {r.k: r.n for r in counted.collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_nearest_keeps_rows_without_partner(spark):
     left = spark.createDataFrame([(1, 139.7, 35.6), (2, 140.9, 35.6)], "k long, lon double, lat double")
     right = spark.createDataFrame([(7, 139.7001, 35.6), (6, 139.7001, 35.6)], "n long, rlon double, rlat double")
