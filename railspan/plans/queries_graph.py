@@ -170,8 +170,7 @@ def g10(t: Tables) -> DataFrame:
 @query("g11_grade_segments", "WITH n AS (SELECT stop, count(*) AS n FROM (SELECT a AS stop FROM near UNION ALL SELECT b FROM near) GROUP BY stop) SELECT s.stop, coalesce(n, 0) AS density, CASE WHEN coalesce(n, 0) >= 8 THEN 300 WHEN coalesce(n, 0) >= 4 THEN 600 WHEN coalesce(n, 0) >= 1 THEN 1200 ELSE 3600 END AS headway FROM stops AS s LEFT JOIN n ON n.stop = s.stop")
 def g11(t: Tables) -> DataFrame:
     """Headway of a segment by the density of stations around it."""
-    n = t.near.select(F.col("a").alias("stop")).union(t.near.select("b")).groupBy("stop").agg(F.count("*").alias("n"))
-    d = t.stops.select("stop").join(n, "stop", "left").select("stop", F.coalesce("n", F.lit(0)).alias("density"))
+    d = t.stops.select("stop").join(t.density, "stop", "left").select("stop", F.coalesce("n", F.lit(0)).alias("density"))
     return d.withColumn("headway", F.when(F.col("density") >= 8, 300).when(F.col("density") >= 4, 600).when(F.col("density") >= 1, 1200).otherwise(3600))
 
 
