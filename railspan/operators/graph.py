@@ -11,21 +11,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut, fixpoint
+from ..plans.fixpoint import cut, discard
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """nodes (node), edges (a, b) -> (node, comp), comp the least node of the component. Labels jump to their label's label each round."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    start = nodes.select("node", F.col("node").alias("comp"))
+    """nodes (node), edges (a, b) -> (node, comp), comp the least node of the component.
 
-    def step(label: DataFrame) -> DataFrame:
-        near = both.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("least"))
-        new = label.join(near, F.col("node") == F.col("n"), "left").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("c"))
-        jump = label.select(F.col("node").alias("p"), F.col("comp").alias("q"))
-        return new.join(jump, F.col("c") == F.col("p"), "left").select("node", F.least("c", "q").alias("comp"), (F.least("c", "q") < F.col("old")).alias("moved"))
-
-    return fixpoint(cut(start), step, most_rounds)
+    Each round every node of the edge table points to its least neighbour below it, pointers are followed to their ends by doubling, and
+    the table shrinks to the edges between the ends. Rounds do not grow with the length of a path, as they do when labels walk along edges.
+    """
+    of, node = cut(nodes.select("node", F.col("node").alias("comp")).distinct()), nodes.select("node")
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = cut(e.join(node.withColumnRenamed("node", "a"), "a", "left_semi").join(node.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b").distinct())
+    for _ in range(most_rounds):
+        if e.isEmpty():
+            discard(e)
+            return of
+        ends = _ends(e.groupBy("a").agg(F.min("b").alias("to")), most_rounds)
+        to = lambda d, c: d.join(ends.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
+        moved = to(to(e, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        old, e, of = (e, of), cut(moved), cut(to(of, "comp").select("node", "comp"))
+        for table in (*old, ends):
+            discard(table)
+    raise RuntimeError(f"edges between components remain after {most_rounds} rounds")
+
+
+def _ends(pointers: DataFrame, most_rounds: int) -> DataFrame:
+    """pointers (a, to), to < a -> (a, to) with to where following them ends. A round follows twice as many steps as the one before."""
+    p = cut(pointers)
+    for _ in range(most_rounds):
+        on = p.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        new = cut(p.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        discard(p)
+        p = new
+        if p.where("moved").isEmpty():
+            break
+        p = p.drop("moved")
+        p._scratch = new._scratch
+    else:
+        raise RuntimeError(f"pointers run on after {most_rounds} doublings")
+    done = p.drop("moved")
+    done._scratch = p._scratch
+    return done
 
 
 def chains(pointers: DataFrame, most_rounds: int = 24) -> DataFrame:

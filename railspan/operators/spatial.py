@@ -24,14 +24,14 @@ def _around(d: DataFrame) -> DataFrame:
     return d.withColumn("_n", F.explode(near)).withColumn("_gx", F.col("_gx") + F.col("_n.i")).withColumn("_gy", F.col("_gy") + F.col("_n.j")).drop("_n")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of left (lon, lat, ...) and right (rlon, rlat, ...) within radius metres, with their distance m. Rows without a position match nothing."""
+def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left (lon, lat, ...) and right (rlon, rlat, ...) within radius metres and equal in the columns on, with their distance m. Rows without a position match nothing."""
     gx, gy = _bucket(F.col("lon"), F.col("lat"), radius)
     a = left.where("not isnan(lon) and not isnan(lat)").withColumns({"_gx": gx, "_gy": gy})
     gx, gy = _bucket(F.col("rlon"), F.col("rlat"), radius)
     b = _around(right.where("not isnan(rlon) and not isnan(rlat)").withColumns({"_gx": gx, "_gy": gy}))
     m = flat_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat"))
-    return a.join(b.hint("merge"), ["_gx", "_gy"]).withColumn("m", m).where(F.col("m") <= radius).drop("_gx", "_gy")
+    return a.join(b.hint("merge"), ["_gx", "_gy", *on]).withColumn("m", m).where(F.col("m") <= radius).drop("_gx", "_gy")
 
 
 def radius_pairs(points: DataFrame, key: str, radius: float) -> DataFrame:
@@ -46,6 +46,31 @@ def neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
     return radius_join(points.select(key, "lon", "lat"), right, radius).where(F.col(key) != F.col("_b")).groupBy(key).agg(F.count("*").alias("n"))
 
 
+def clusters(points: DataFrame, key: str, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """(node, comp): components of points (key, lon, lat, on) that lie within radius metres of each other and are equal in the columns on; comp is the least key.
+
+    Points of one cell whose diagonal is under the radius are linked with no test, and cells are linked once, however many of their points
+    are: what is written grows with the cells met, not with the pairs.
+    """
+    from ..plans.fixpoint import cut
+    from .graph import components
+
+    cell = list(_bucket(F.col("lon"), F.col("lat"), radius / 1.5))
+    p = points.select(F.col(key).alias("node"), "lon", "lat", *on).withColumns({"_cx": cell[0], "_cy": cell[1]})
+    placed = F.lit(True)
+    for c in ("lon", "lat", *on):
+        placed = placed & F.col(c).isNotNull()
+    placed = placed & ~F.isnan("lon") & ~F.isnan("lat")
+    least = p.where(placed).groupBy(*on, "_cx", "_cy").agg(F.min("node").alias("rep"))
+    p = cut(p.where(placed).join(least, [*on, "_cx", "_cy"]).select("node", "rep", "lon", "lat", *on).unionByName(p.where(~placed).select("node", F.col("node").alias("rep"), "lon", "lat", *on)))
+    right = p.select(F.col("rep").alias("_rep"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), *on)
+    met = radius_join(p.select("rep", "lon", "lat", *on), right, radius, on).where("rep < _rep").select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+    again = p.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))  # a key that stands at several places links them
+    again = p.join(again.where("a < b"), "node").select("a", F.col("rep").alias("b"))
+    found = components(p.select(F.col("rep").alias("node")).distinct(), met.unionByName(again))
+    return p.join(found.select(F.col("node").alias("rep"), "comp"), "rep").groupBy("node").agg(F.min("comp").alias("comp"))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float) -> DataFrame:
     """(key, right_key, m): the nearest right row within radius metres of each left row, the least right_key on ties; null without one."""
     best = radius_join(left.select(key, "lon", "lat"), right, radius).groupBy(key).agg(F.min(F.struct("m", right_key)).alias("_b"))

@@ -128,7 +128,7 @@ def g09(t: Tables) -> DataFrame:
 @query("g04_components", "WITH RECURSIVE r AS (SELECT stop AS a, stop AS b FROM stops UNION SELECT r.a, e.y FROM r JOIN (SELECT a AS x, b AS y FROM near WHERE m <= 250 UNION ALL SELECT b, a FROM near WHERE m <= 250) AS e ON e.x = r.b) SELECT a AS node, min(b) AS comp FROM r GROUP BY a")
 def g04(t: Tables) -> DataFrame:
     """Components of stops within 250 m of each other."""
-    return graph.components(t.stops.select(F.col("stop").alias("node")), t.near.where("m <= 250").select("a", "b"))
+    return spatial.clusters(t.stops, "stop", 250.0)
 
 
 @query("g15_search_index", "WITH RECURSIVE e AS (SELECT n.a AS x, n.b AS y FROM near AS n JOIN stops AS s ON s.stop = n.a JOIN stops AS u ON u.stop = n.b WHERE m <= 700 AND s.operator = u.operator), r AS (SELECT stop AS a, stop AS b FROM stops UNION SELECT r.a, e2.y FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) AS e2 ON e2.x = r.b), c AS (SELECT a, min(b) AS comp FROM r GROUP BY a) SELECT comp, operator, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM c JOIN stops ON stop = a GROUP BY comp, operator")

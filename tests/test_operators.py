@@ -43,6 +43,29 @@ def test_nearest_keeps_rows_without_partner(spark):
     assert {r.k: r.n for r in spatial.nearest(left, right, "k", "n", 300.0).collect()} == {1: 6, 2: None}
 
 
+def test_clusters_of_a_long_chain_equal_union_find(spark):
+    """A street of 400 stops, 200 m apart: labels that walk along links needed more rounds than there are."""
+    rng = random.Random(9)
+    order = rng.sample(range(400), 400)
+    points = [(k, 139.6, 35.0 + i * 200 / geo.KY, "x" if i % 3 else None) for i, k in enumerate(order)]
+    points += [(1000 + i, 139.7 + rng.random() * 0.03, 35.6 + rng.random() * 0.03, rng.choice("xy")) for i in range(150)] + [(2000, float("nan"), 35.6, "x"), (order[7], 139.9, 35.6, "x"), (2001, 139.9, 35.6, "x")]
+    d = spark.createDataFrame(points, "k long, lon double, lat double, g string")
+    for on in ((), ("g",)):
+        root = {p[0]: p[0] for p in points}
+
+        def find(k, root=root):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for p in points:
+            for q in points:
+                if math.hypot((p[1] - q[1]) * geo.KX, (p[2] - q[2]) * geo.KY) <= 250 and (not on or p[3] == q[3] and p[3]):
+                    a, b = find(p[0]), find(q[0])
+                    root[max(a, b)] = min(a, b)
+        assert {r.node: r.comp for r in spatial.clusters(d, "k", 250.0, on).collect()} == {k: find(k) for k in root}
+
+
 def test_point_in_polygon_with_hole(spark):
     ring = lambda p, c: [(p, *a, *b) for a, b in zip(c, [*c[1:], c[0]], strict=True)]
     edges = ring(1, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]) + ring(1, [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)])
