@@ -135,9 +135,7 @@ def g04(t: Tables) -> DataFrame:
 def g15(t: Tables) -> DataFrame:
     """Stops of one name within 700 m are one entry with its mean position."""
     s = t.stops
-    o = s.select("stop", "operator")
-    e = t.near.where("m <= 700").join(o.select(F.col("stop").alias("a"), F.col("operator").alias("oa")), "a").join(o.select(F.col("stop").alias("b"), F.col("operator").alias("ob")), "b").where("oa = ob").select("a", "b")
-    c = graph.components(s.select(F.col("stop").alias("node")), e)
+    c = spatial.clusters(s, "stop", 700.0, ("operator",))
     return c.join(s, F.col("node") == F.col("stop")).groupBy("comp", "operator").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
 
 
