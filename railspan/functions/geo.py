@@ -32,7 +32,7 @@ def walk_seconds(m: Column) -> Column:
 
 def walk_cost(m: Column, least: float = 300, base: float = 90, detour: float = 1.25) -> Column:
     """Whole seconds of a transfer on foot, rounded half to even, never under the least."""
-    return F.bround(F.greatest(F.lit(float(least)), F.lit(float(base)) + F.lit(detour) * m / F.lit(WALK_MPS)), 0).cast("bigint")
+    return F.rint(F.greatest(F.lit(float(least)), F.lit(float(base)) + F.lit(detour) * m / F.lit(WALK_MPS))).cast("bigint")
 
 
 def cell_of(lon: Column, lat: Column, lon0: float, lat0: float, size_m: float, width: int, height: int) -> Column:

@@ -19,7 +19,7 @@ CELL_OF = f"least(greatest(CAST(floor((lon - 139.6) / 0.3001 * {2 * GRID}) AS BI
 
 
 def arrivals(t: Tables, budget: int = BUDGET) -> DataFrame:
-    return raptor.earliest_arrivals(t.events, t.transfers, t.access, DEPART, DEPART + budget, LIMIT)
+    return raptor.earliest_arrivals(t.events, t.walks, t.access, DEPART, DEPART + budget, LIMIT)
 
 
 @query("g01_earliest_arrivals", f"WITH {ARRIVALS} SELECT stop, best FROM arrivals")
@@ -42,7 +42,7 @@ traced AS MATERIALIZED (SELECT stop, best, kind, prev, trip, board, alight FROM
 
 
 def traced(t: Tables) -> DataFrame:
-    ev, tr, ac = t.events, t.transfers, t.access
+    ev, tr, ac = t.events, t.walks, t.access
     return graph.trace(arrivals(t), ev, tr, ac, DEPART, DEADLINE, LIMIT)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.walks import FootWalks, Relaxer
 from .fixpoint import cut, fixpoint
 
 #: Seconds between arriving at a stop and boarding there, and rounds at most.
@@ -46,15 +47,28 @@ def alight(boarded: DataFrame, deadline: int) -> DataFrame:
     return boarded.where(F.col("boarded").isNotNull() & (F.col("arr") <= deadline)).groupBy("stop").agg(F.min("arr").alias("best"))
 
 
-def relax_transfers(best: DataFrame, transfers: DataFrame, deadline: int) -> DataFrame:
+def walked_from(best: DataFrame, transfers: DataFrame | FootWalks) -> DataFrame:
+    """(src, dst, best, cost) of the walks from labels (stop, best)."""
+    if isinstance(transfers, FootWalks):
+        return transfers.joined(best)
+    return best.join(transfers, F.col("stop") == F.col("src")).select("src", "dst", "best", "cost")
+
+
+def relax_transfers(best: DataFrame, transfers: DataFrame | FootWalks, deadline: int) -> DataFrame:
     """Labels after one walk at most from each stop."""
-    walked = best.join(transfers, F.col("stop") == F.col("src")).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("best"))
+    walked = walked_from(best, transfers).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("best"))
     return best.select("stop", "best").union(walked).where(F.col("best") <= deadline).groupBy("stop").agg(F.min("best").alias("best"))
 
 
-def earliest_arrivals(events: DataFrame, transfers: DataFrame, access: DataFrame, depart: int, deadline: int, limit: float, rounds: int = ROUNDS) -> DataFrame:
-    """(stop, best): the earliest arrival at every stop reached by the deadline."""
+def earliest_arrivals(events: DataFrame, transfers: DataFrame | FootWalks, access: DataFrame, depart: int, deadline: int, limit: float, rounds: int = ROUNDS) -> DataFrame:
+    """(stop, best): the earliest arrival at every stop reached by the deadline. Transfers are rows (src, dst, cost) or walks between places."""
     ev = cut(events.select("trip", "seq", "stop", "arr", "dep").where((F.col("dep") >= depart) & (F.col("arr") <= deadline)))
+    if isinstance(transfers, FootWalks):
+        walks = FootWalks(cut(transfers.places.select("stop", "lon", "lat")), transfers.radius)
+        first = initial_labels(access, depart, limit, deadline)
+        if ev.count() + walks.places.count() <= TASK_ROWS:
+            return _in_one_task(ev, walks, first, deadline, rounds)
+        return _in_rounds(ev, walks, relax_transfers(first, walks, deadline), deadline, rounds)
     walks = cut(transfers.select("src", "dst", "cost"))
     start = relax_transfers(initial_labels(access, depart, limit, deadline), walks, deadline)
     # a window of a checked size is searched in one task, as a small side is broadcast
@@ -63,11 +77,16 @@ def earliest_arrivals(events: DataFrame, transfers: DataFrame, access: DataFrame
     return _in_rounds(ev, walks, start, deadline, rounds)
 
 
-def _in_one_task(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: int, rounds: int) -> DataFrame:
-    """The rounds over arrays in one task, for a window of TASK_ROWS rows at most."""
-    none = F.lit(None).cast("bigint")
-    rows = ev.select(F.lit(0).alias("kind"), "trip", F.col("seq").cast("bigint"), "stop", "arr", "dep")
-    rows = rows.unionAll(walks.select(F.lit(1), "src", "dst", F.col("cost").cast("bigint"), none, none)).unionAll(start.select(F.lit(2), "stop", "best", none, none, none))
+def _in_one_task(ev: DataFrame, walks: DataFrame | FootWalks, start: DataFrame, deadline: int, rounds: int) -> DataFrame:
+    """The rounds over arrays in one task, for a window of TASK_ROWS rows at most. On foot between places, start is before the first walk."""
+    none, nowhere = F.lit(None).cast("bigint"), (F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    foot, radius = isinstance(walks, FootWalks), walks.radius if isinstance(walks, FootWalks) else 0.0
+    rows = ev.select(F.lit(0).alias("kind"), "trip", F.col("seq").cast("bigint"), "stop", "arr", "dep", *nowhere)
+    if foot:
+        rows = rows.unionAll(walks.places.where("lon is not null and lat is not null").select(F.lit(3), "stop", none, none, none, none, "lon", "lat"))
+    else:
+        rows = rows.unionAll(walks.select(F.lit(1), "src", "dst", F.col("cost").cast("bigint"), none, none, *nowhere))
+    rows = rows.unionAll(start.select(F.lit(2), "stop", "best", none, none, none, *nowhere))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -79,19 +98,29 @@ def _in_one_task(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: in
         trip, seq, stop, arr, dep = of(0, 5)
         src, dst, cost = of(1, 3)
         first, since = of(2, 2)
+        (place,), (lon, lat) = of(3, 1), (t[c].filter(pa.array(kind == 3)).to_numpy() for c in ("x", "y"))
+        del held, t, kind
         order = np.lexsort((seq, trip))
         trip, stop, arr, dep = trip[order], stop[order], arr[order], dep[order]
-        names, at = np.unique(np.concatenate([stop, src, dst, first]), return_inverse=True)
-        stop, src, dst, first = np.split(at, np.cumsum([len(stop), len(src), len(dst)]))
+        names, at = np.unique(np.concatenate([stop, src, dst, first, place]), return_inverse=True)
+        stop, src, dst, first, place = np.split(at, np.cumsum([len(stop), len(src), len(dst), len(first)]))
         never = np.iinfo(np.int64).max // 2
         best = np.full(len(names), never)
         np.minimum.at(best, first, since)
         head = np.searchsorted(trip, trip)  # where each event's trip begins
+        relaxer = Relaxer(place, lon, lat, radius) if foot else None
+        moved = best < never  # labels whose walks were not taken yet
+        if foot:
+            before, best = best, relaxer.relax(best, moved, deadline)
+            moved = best < before
         for _ in range(rounds):
             on = np.concatenate([[0], np.cumsum((best[stop] + CHANGE <= dep) & (dep <= deadline))])
             ride = (on[:-1] > on[head]) & (arr <= deadline)
             new = best.copy()
             np.minimum.at(new, stop[ride], arr[ride])
+            if foot:
+                ridden, new = new, relaxer.relax(new, moved | (new < best), deadline)
+                moved = new < ridden
             walked = new[src] + cost
             near = walked <= deadline
             np.minimum.at(new, dst[near], walked[near])
@@ -104,11 +133,11 @@ def _in_one_task(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: in
     return cut(rows.coalesce(1).mapInArrow(run, "stop bigint, best bigint"))
 
 
-def _in_rounds(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: int, rounds: int) -> DataFrame:
+def _in_rounds(ev: DataFrame, walks: DataFrame | FootWalks, start: DataFrame, deadline: int, rounds: int) -> DataFrame:
     """The rounds as joins of what changed with the events by stop and by trip."""
     by_stop = ev.select("stop", "trip", "seq", "dep").repartition("stop").persist()
     by_trip = ev.select("trip", F.col("seq").alias("at"), F.col("stop").alias("to"), "arr").repartition("trip").persist()
-    walks = walks.repartition("src").persist()
+    walks = walks if isinstance(walks, FootWalks) else walks.repartition("src").persist()
     start = start.withColumn("moved", F.lit(True))
 
     def step(labels: DataFrame) -> DataFrame:
@@ -116,7 +145,7 @@ def _in_rounds(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: int,
         boarded = fresh.join(by_stop, "stop").where(boardable(F.col("best"), F.col("dep"), deadline)).groupBy("trip").agg(F.min("seq").alias("first"))
         rides = boarded.join(by_trip, "trip").where("at > first").groupBy(F.col("to").alias("stop")).agg(F.min("arr").alias("best"))
         open_ = fresh.unionByName(rides)
-        walked = open_.join(walks, F.col("stop") == F.col("src")).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("best")).where(F.col("best") <= deadline)
+        walked = walked_from(open_, walks).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("best")).where(F.col("best") <= deadline)
         found = labels.select("stop", "best", F.col("best").alias("old")).unionByName(rides.unionByName(walked).withColumn("old", F.lit(None).cast("bigint")))
         new = found.groupBy("stop").agg(F.min("best").alias("best"), F.min("old").alias("old"))
         return new.select("stop", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("moved"))
@@ -125,7 +154,8 @@ def _in_rounds(ev: DataFrame, walks: DataFrame, start: DataFrame, deadline: int,
         return fixpoint(cut(start), step, rounds, keep_moved=True, strict=False)
     finally:
         for kept in (by_stop, by_trip, walks):
-            kept.unpersist()
+            if isinstance(kept, DataFrame):
+                kept.unpersist()
 
 
 def restrict(events: DataFrame, keep: DataFrame, drop_trips: DataFrame | None = None) -> DataFrame:

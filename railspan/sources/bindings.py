@@ -114,6 +114,13 @@ class Tables:
         n = self.near.select("a", "b", walk_cost(F.col("m")).alias("cost"))
         return n.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cost").union(n.select("b", "a", "cost"))
 
+    @cached_property
+    def walks(self):  # noqa: ANN201
+        """The transfers, made from positions where a search needs them."""
+        from ..operators.walks import FootWalks
+
+        return FootWalks(self.stops.select("stop", "lon", "lat"), 1000.0)
+
     @cached_property
     def access(self) -> DataFrame:
         from ..functions.geo import flat_m, walk_seconds

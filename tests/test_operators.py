@@ -3,13 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from railspan.functions import geo, names
-from railspan.operators import folds, graph, sequences, similarity, spatial
+from railspan.operators import folds, graph, sequences, similarity, spatial, walks
 from railspan.plans import raptor
 
 
@@ -229,3 +230,36 @@ def test_search_in_one_task_equals_rounds(spark, monkeypatch):
     one = found()
     monkeypatch.setattr(raptor, "TASK_ROWS", 0)
     assert one and found() == one
+
+
+@pytest.mark.parametrize("rows", [0, 4_000_000])
+def test_search_on_foot_equals_search_over_transfers(spark, monkeypatch, rows):
+    """Walks made from positions, in one task and in rounds, against the table of all walks, which did not fit."""
+    from helpers import DATA
+
+    from railspan.sources.bindings import DEPART, Tables
+
+    t = Tables(spark, f"{DATA}/sf0.01")
+    found = lambda by, rounds: sorted(map(tuple, raptor.earliest_arrivals(t.events, by, t.access, DEPART, DEPART + 3600, 3600, rounds).collect()))
+    want = {rounds: found(t.transfers, rounds) for rounds in (1, 12)}
+    monkeypatch.setattr(raptor, "TASK_ROWS", rows)
+    monkeypatch.setattr(walks, "AT_ONCE", 1000)
+    assert want[12] and {rounds: found(t.walks, rounds) for rounds in (1, 12)} == want
+
+
+def test_relaxer_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for n, wide in ((400, 0.03), (400, 0.003), (3, 0.5)):
+        lon, lat = 139.7 + rng.random(n) * wide, 35.6 + rng.random(n) * wide
+        stop = rng.permutation(n)
+        stop[0], lon[1] = stop[n - 1], np.nan  # a stop at two places, and one without a place
+        best = rng.integers(0, 3000, n)
+        best[rng.random(n) < 0.5] = np.iinfo(np.int64).max // 2
+        changed, want = rng.random(n) < 0.8, best.copy()
+        for i in range(n):
+            for j in range(n):
+                m = math.sqrt(((lon[i] - lon[j]) * geo.KX) ** 2 + ((lat[i] - lat[j]) * geo.KY) ** 2)
+                got = best[stop[i]] + round(max(300, 90 + 1.25 * m / geo.WALK_MPS)) if m <= 1000 else 10**9
+                if changed[stop[i]] and got <= 2500:
+                    want[stop[j]] = min(want[stop[j]], got)
+        assert (walks.Relaxer(stop, lon, lat, 1000.0).relax(best, changed, 2500) == want).all()
