@@ -71,16 +71,29 @@ def clusters(points: DataFrame, key: str, radius: float, on: tuple[str, ...] = (
     return p.join(found.select(F.col("node").alias("rep"), "comp"), "rep").groupBy("node").agg(F.min("comp").alias("comp"))
 
 
+def closest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, by, right_key, m): the nearest right row within radius metres of each left row, for each value of the right columns by; the least right_key on ties.
+
+    The least distance goes back to the left rows and the join runs again for the rows at it: both aggregates are hashed on numbers,
+    where the least of a struct sorts all pairs.
+    """
+    d = left.select(key, "lon", "lat")
+    least = radius_join(d, right, radius).groupBy(key, *by).agg(F.min("m").alias("_least"))
+    at = radius_join(d.join(least, key), right, radius, by).where(F.col("m") == F.col("_least"))
+    return at.groupBy(key, *by).agg(F.min(right_key).alias(right_key), F.min("m").alias("m"))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float) -> DataFrame:
     """(key, right_key, m): the nearest right row within radius metres of each left row, the least right_key on ties; null without one."""
-    best = radius_join(left.select(key, "lon", "lat"), right, radius).groupBy(key).agg(F.min(F.struct("m", right_key)).alias("_b"))
-    return left.select(key).join(best.select(key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b.m").alias("m")), key, "left")
+    return left.select(key).join(closest(left, right, key, right_key, radius), key, "left").select(key, right_key, "m")
 
 
-def within_slack(pairs: DataFrame, key: str, slack: float) -> DataFrame:
-    """Of pairs (key, ..., m), those within slack metres of the key's nearest."""
-    least = pairs.groupBy(key).agg(F.min("m").alias("_least"))
-    return pairs.join(least, key).where(F.col("m") <= F.col("_least") + slack).drop("_least")
+def pairs_within_slack(points: DataFrame, key: str, radius: float, slack: float) -> DataFrame:
+    """Pairs (a, b, m), a < b, of radius_pairs within slack metres of the least m of their a. Only the least goes through a shuffle by key, not the pairs."""
+    least = radius_pairs(points, key, radius).groupBy("a").agg(F.min("m").alias("_least"))
+    left = points.select(F.col(key).alias("a"), "lon", "lat").join(least, "a")
+    right = points.select(F.col(key).alias("b"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
+    return radius_join(left, right, radius).where((F.col("a") < F.col("b")) & (F.col("m") <= F.col("_least") + slack)).select("a", "b", "m")
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -44,6 +44,22 @@ def test_nearest_keeps_rows_without_partner(spark):
     assert {r.k: r.n for r in spatial.nearest(left, right, "k", "n", 300.0).collect()} == {1: 6, 2: None}
 
 
+def test_closest_and_slack_sort_no_pairs_and_equal_brute_force(spark):
+    """The least of a struct sorted every pair; ties go to the least key."""
+    rng = random.Random(6)
+    points = [(i, 139.7 + rng.randrange(40) / 2000, 35.6 + rng.randrange(40) / 2000) for i in range(150)]
+    d = spark.createDataFrame(points, "k long, lon double, lat double")
+    right = d.select(F.col("k").alias("n"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), (F.col("k") % 3).alias("g"))
+    dist = lambda p, q: math.sqrt(((p[1] - q[1]) * geo.KX) ** 2 + ((p[2] - q[2]) * geo.KY) ** 2)
+    got = spatial.closest(d, right, "k", "n", 300.0, ("g",))
+    assert "SortAggregate" not in plan_of(got)
+    want = {(p[0], g): min((dist(p, q), q[0]) for q in points if q[0] % 3 == g and dist(p, q) <= 300)[1] for p in points for g in range(3) if any(q[0] % 3 == g and dist(p, q) <= 300 for q in points)}
+    assert {(r.k, r.g): r.n for r in got.collect()} == want
+    pairs = [(p[0], q[0], dist(p, q)) for p in points for q in points if p[0] < q[0] and dist(p, q) <= 700]
+    least = {a: min(m for x, _, m in pairs if x == a) for a, _, _ in pairs}
+    assert {(r.a, r.b) for r in spatial.pairs_within_slack(d, "k", 700.0, 15.0).collect()} == {(a, b) for a, b, m in pairs if m <= least[a] + 15}
+
+
 def test_clusters_of_a_long_chain_equal_union_find(spark):
     """A street of 400 stops, 200 m apart: labels that walk along links needed more rounds than there are."""
     rng = random.Random(9)
@@ -247,6 +263,17 @@ def test_search_on_foot_equals_search_over_transfers(spark, monkeypatch, rows):
     assert want[12] and {rounds: found(t.walks, rounds) for rounds in (1, 12)} == want
 
 
+def test_trace_on_foot_equals_trace_over_transfers(spark):
+    from helpers import DATA
+
+    from railspan.sources.bindings import DEPART, Tables
+
+    t = Tables(spark, f"{DATA}/sf0.01")
+    best = raptor.earliest_arrivals(t.events, t.walks, t.access, DEPART, DEPART + 3600, 3600)
+    traced = lambda by: sorted(graph.trace(best, t.events, by, t.access, DEPART, DEPART + 3600, 3600).collect(), key=str)
+    assert any(r.kind == 2 for r in traced(t.walks)) and traced(t.walks) == traced(t.transfers)
+
+
 def test_relaxer_equals_all_pairs():
     rng = np.random.default_rng(4)
     for n, wide in ((400, 0.03), (400, 0.003), (3, 0.5)):
