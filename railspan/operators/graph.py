@@ -125,10 +125,12 @@ def trace(best: DataFrame, events: DataFrame, transfers: DataFrame, access: Data
     Every step back is strictly earlier, so following prev always ends at an access label.
     """
     from ..plans.raptor import board, initial_labels, walked_from
+    from .walks import FootWalks
 
     null = F.lit(None).cast("bigint")
     a = initial_labels(access, depart, limit, deadline).select("stop", F.col("best").alias("t"), F.lit(1).alias("kind"), null.alias("prev"), null.alias("trip"), null.alias("board"), null.alias("alight"))
-    w = walked_from(best, transfers).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("t"), F.lit(2), F.col("src"), null, null, null)
+    # walks from places are tested against the label they must meet inside their join: the rest are never rows of a shuffle
+    w = (transfers.joined(best, best) if isinstance(transfers, FootWalks) else walked_from(best, transfers)).select(F.col("dst").alias("stop"), (F.col("best") + F.col("cost")).alias("t"), F.lit(2), F.col("src"), null, null, null)
     ev = events.select("trip", "seq", "stop", "arr", "dep").where((F.col("dep") >= depart) & (F.col("arr") <= deadline))
     on = board(ev, best, deadline).where(F.col("boarded").isNotNull())
     at = ev.select(F.col("trip").alias("bt"), F.col("seq").alias("bs"), F.col("stop").alias("prev"))

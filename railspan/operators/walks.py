@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KX, KY, WALK_MPS, walk_cost
@@ -23,12 +22,16 @@ class FootWalks:
     places: DataFrame
     radius: float
 
-    def joined(self, labels: DataFrame, within: Callable[[Column], Column] | None = None) -> DataFrame:
-        """(src, dst, best, cost) of all walks from labels (stop, best)."""
+    def joined(self, labels: DataFrame, meet: DataFrame | None = None) -> DataFrame:
+        """(src, dst, best, cost) of all walks from labels (stop, best); with meet (stop, best), of those that end at just the label of meet."""
         at = self.places.select("stop", "lon", "lat")
         left = at.join(labels.select("stop", "best"), "stop").withColumnRenamed("stop", "src")
-        right = at.select(F.col("stop").alias("dst"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
-        return radius_join(left, right, self.radius).where("src <> dst").select("src", "dst", "best", walk_cost(F.col("m")).alias("cost"))
+        right = at if meet is None else at.join(meet.select("stop", F.col("best").alias("reach")), "stop")
+        right = right.withColumnsRenamed({"stop": "dst", "lon": "rlon", "lat": "rlat"})
+        d = radius_join(left, right, self.radius).where("src <> dst").withColumn("cost", walk_cost(F.col("m")))
+        if meet is not None:
+            d = d.where("reach > best and reach = best + cost")
+        return d.select("src", "dst", "best", "cost")
 
 
 def seconds(m: np.ndarray) -> np.ndarray:
