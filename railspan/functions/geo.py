@@ -26,6 +26,13 @@ def flat_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def round3(x: Column) -> Column:
+    """round(x, 3). Spark rounds through decimal text; that is left for numbers near a tie and large ones, where the product could be on the wrong side."""
+    y = x * 1000
+    plain = (F.abs(x) < 1e5) & (F.abs(y - F.floor(y) - 0.5) > 1e-6)
+    return F.when(plain, F.rint(y) / 1000).otherwise(F.round(x, 3))
+
+
 def walk_seconds(m: Column) -> Column:
     return m * F.lit(DETOUR) / F.lit(WALK_MPS)
 

@@ -3,7 +3,7 @@
 The bucket width is the radius, so partners lie in the 3 x 3 neighbourhood: one side is copied to nine
 buckets, an equi-join on the bucket follows, and the exact distance is the residual. There is no cross join,
 and a dense bucket is split by AQE's skew handling. The copied side is never broadcast: Spark guesses its size from
-the file, without the nine copies.
+the file, without the nine copies. Joins that return all pairs use buckets of half the width, which leaves fewer pairs to test.
 """
 
 from __future__ import annotations
@@ -18,26 +18,36 @@ def _bucket(lon: Column, lat: Column, radius: float) -> tuple[Column, Column]:
     return F.floor(lon * F.lit(KX) / radius), F.floor(lat * F.lit(KY) / radius)
 
 
-def _around(d: DataFrame) -> DataFrame:
-    """Copies of each row to the bucket's neighbourhood."""
-    near = F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> named_struct('i', i, 'j', j))))")
+def _around(d: DataFrame, parts: int = 1) -> DataFrame:
+    """Copies of each row to the bucket's neighbourhood, parts buckets to each side."""
+    steps = f"sequence({-parts}, {parts})"
+    near = F.expr(f"flatten(transform({steps}, i -> transform({steps}, j -> named_struct('i', i, 'j', j))))")
     return d.withColumn("_n", F.explode(near)).withColumn("_gx", F.col("_gx") + F.col("_n.i")).withColumn("_gy", F.col("_gy") + F.col("_n.j")).drop("_n")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of left (lon, lat, ...) and right (rlon, rlat, ...) within radius metres and equal in the columns on, with their distance m. Rows without a position match nothing."""
-    gx, gy = _bucket(F.col("lon"), F.col("lat"), radius)
+def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
+    """Pairs of left (lon, lat, ...) and right (rlon, rlat, ...) within radius metres and equal in the columns on, with their distance m. Rows without a position match nothing.
+
+    parts is the number of buckets across a radius.
+    """
+    gx, gy = _bucket(F.col("lon"), F.col("lat"), radius / parts)
     a = left.where("not isnan(lon) and not isnan(lat)").withColumns({"_gx": gx, "_gy": gy})
-    gx, gy = _bucket(F.col("rlon"), F.col("rlat"), radius)
-    b = _around(right.where("not isnan(rlon) and not isnan(rlat)").withColumns({"_gx": gx, "_gy": gy}))
+    gx, gy = _bucket(F.col("rlon"), F.col("rlat"), radius / parts)
+    b = _around(right.where("not isnan(rlon) and not isnan(rlat)").withColumns({"_gx": gx, "_gy": gy}), parts)
     m = flat_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat"))
     return a.join(b.hint("merge"), ["_gx", "_gy", *on]).withColumn("m", m).where(F.col("m") <= radius).drop("_gx", "_gy")
 
 
+def ordered_pairs(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """Pairs of points (key, lon, lat, ...) of different keys within radius metres, both ways: the columns of one, those of the other with r before their names, and m."""
+    right = points.withColumnsRenamed({c: f"r{c}" for c in points.columns})
+    return radius_join(points, right, radius, parts=2).where(F.col(key) != F.col(f"r{key}"))
+
+
 def radius_pairs(points: DataFrame, key: str, radius: float) -> DataFrame:
     """Unordered pairs (a, b, m), a < b, of points (key, lon, lat) within radius metres."""
-    right = points.select(F.col(key).alias("b"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
-    return radius_join(points.select(F.col(key).alias("a"), "lon", "lat"), right, radius).where("a < b").select("a", "b", "m")
+    d = ordered_pairs(points.select(key, "lon", "lat"), key, radius)
+    return d.where(F.col(key) < F.col(f"r{key}")).select(F.col(key).alias("a"), F.col(f"r{key}").alias("b"), "m")
 
 
 def neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
