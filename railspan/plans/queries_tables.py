@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geo, tags
 from ..operators import sequences as S
+from ..operators import tiles
 from ..registry import query
 from ..sources.bindings import BUDGET, DEPART, Tables
 from . import raptor
@@ -391,7 +392,8 @@ def t02(t: Tables) -> DataFrame:
 
 @query("t04_sorted_edges", "SELECT src, dst, cost, row_number() OVER (PARTITION BY src ORDER BY dst, cost) AS pos FROM transfers")
 def t04(t: Tables) -> DataFrame:
-    return t.transfers.withColumn("pos", F.row_number().over(W.partitionBy("src").orderBy("dst", "cost")))
+    """Walks numbered at their stop, by destination."""
+    return tiles.ranked_walks(t.stops, 1000.0)
 
 
 @query("t05_regions_by_size", "SELECT operator, count(*) AS n FROM stops GROUP BY operator ORDER BY n DESC, operator")

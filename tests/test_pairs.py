@@ -74,3 +74,16 @@ def test_tiles_take_empty_tables_and_one_place(spark):
     for rows in ([], [(1, 139.7, 35.6)], [(1, None, 35.6)]):
         d = spark.createDataFrame(rows, "stop long, lon double, lat double")
         assert tiles.met_pairs(d, 700.0, 700.0).collect() == []
+
+
+def test_ranked_walks_equal_brute_force_without_a_window(spark):
+    rows = places(150, 3)
+    d = tiles.ranked_walks(spark.createDataFrame(rows, "stop long, lon double, lat double"), 900.0)
+    assert "Window" not in plan_of(d) and "Window" not in plan_of(registry.QUERIES["t04_sorted_edges"](spark, SMALL))
+    walks, want = {}, []
+    for p, q, m in near(rows, 900.0):
+        walks.setdefault(p[0], []).append((q[0], round(max(300.0, 90 + 1.25 * m / geo.WALK_MPS))))
+    for src, ends in walks.items():
+        want += [(src, dst, cost, k + 1) for k, (dst, cost) in enumerate(sorted(ends))]
+    assert sorted(map(tuple, d.collect())) == sorted(want)
+    assert tiles.ranked_walks(spark.createDataFrame([], "stop long, lon double, lat double"), 900.0).collect() == []
