@@ -43,3 +43,13 @@ def asof_next(left: DataFrame, at: str, right: DataFrame, time: str, key: str) -
     w = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(1, W.unboundedFollowing)
     nxt = F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w)
     return both.withColumn(time, nxt).where("_side = 0").drop("_t", "_side")
+
+
+def pairs_of_key(rows: DataFrame, key: str, on: str, parts: int = 16) -> DataFrame:
+    """Ordered pairs of rows of different keys and equal in on: the columns of one, those of the other with r before their names.
+
+    Few values of on would leave few tasks with all the pairs, and Spark sees only the small tables: rows are dealt to parts, the others copied to each.
+    """
+    a = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    b = rows.withColumnsRenamed({c: f"r{c}" for c in rows.columns if c != on}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return a.join(b.hint("merge"), [on, "_part"]).where(F.col(key) != F.col(f"r{key}")).drop("_part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from railspan import registry
 from railspan.functions import geo
-from railspan.operators import spatial, tiles
+from railspan.operators import similarity, spatial, tiles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -87,3 +87,12 @@ def test_ranked_walks_equal_brute_force_without_a_window(spark):
         want += [(src, dst, cost, k + 1) for k, (dst, cost) in enumerate(sorted(ends))]
     assert sorted(map(tuple, d.collect())) == sorted(want)
     assert tiles.ranked_walks(spark.createDataFrame([], "stop long, lon double, lat double"), 900.0).collect() == []
+
+
+def test_pairs_of_key_equal_brute_force_and_deal_a_single_key(spark):
+    rows = [(k, 7 if k < 120 else k % 3, k % 4) for k in range(150)] + [(500, None, 1), (3, 7, 9)]
+    d = similarity.pairs_of_key(spark.createDataFrame(rows, "k long, g long, v long"), "k", "g")
+    assert "_part" in first_join(d) and "Broadcast" not in plan_of(d)
+    want = sorted((p[0], p[1], p[2], q[0], q[2]) for p in rows for q in rows if p[1] is not None and p[1] == q[1] and p[0] != q[0])
+    assert sorted((r.k, r.g, r.v, r.rk, r.rv) for r in d.collect()) == want
+    assert "_part" in first_join(registry.QUERIES["j07_group_transfers"](spark, SMALL))
