@@ -64,7 +64,8 @@ def segment_m(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Co
     dx, dy = bx - ax, by - ay
     n = dx * dx + dy * dy
     t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / n))).otherwise(0.0)
-    return F.sqrt(F.pow(px - (ax + t * dx), 2) + F.pow(py - (ay + t * dy), 2))
+    ex, ey = px - (ax + t * dx), py - (ay + t * dy)
+    return F.sqrt(ex * ex + ey * ey)
 
 
 def phase_of(key: Column, headway: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..operators import folds
+from ..operators import folds, spatial
 from ..registry import query
 from ..sources.bindings import ORIGIN_LAT, ORIGIN_LON, Tables
 
@@ -77,10 +77,11 @@ def m13(t: Tables) -> DataFrame:
     """Distance of a point from the segment between each near pair."""
     x = lambda c: (F.col(c) - 139.6) * F.lit(geo.KX)
     y = lambda c: (F.col(c) - 35.55) * F.lit(geo.KY)
-    p, q = (t.stops.select(F.col("stop").alias(k), F.col("lon").alias(f"{k}lon"), F.col("lat").alias(f"{k}lat")) for k in "ab")
-    d = t.near.join(p, "a").join(q, "b").where("alon <> blon or alat <> blat")
-    m = geo.segment_m(F.lit((139.7 - 139.6) * geo.KX), F.lit((35.7 - 35.55) * geo.KY), x("alon"), y("alat"), x("blon"), y("blat"))
-    return d.select("a", "b", F.round(m, 3).alias("m"))
+    s = t.stops.select("stop", "lon", "lat")
+    s = s.join(s.select("stop", F.col("lon").alias("alon"), F.col("lat").alias("alat")), "stop")
+    d = spatial.ordered_pairs(s, "stop", 1000.0).where("stop < rstop and (alon <> ralon or alat <> ralat)")
+    m = geo.segment_m(F.lit((139.7 - 139.6) * geo.KX), F.lit((35.7 - 35.55) * geo.KY), x("alon"), y("alat"), x("ralon"), y("ralat"))
+    return d.select(F.col("stop").alias("a"), F.col("rstop").alias("b"), geo.round3(m).alias("m"))
 
 
 @query("x14_clock", "SELECT trip, seq, lpad(CAST(arr // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(arr % 3600 // 60 AS VARCHAR), 2, '0') AS clock, CASE WHEN arr // 3600 < 30 THEN arr - arr % 60 END AS parsed FROM events")
