@@ -101,7 +101,7 @@ def z03(t: Tables) -> DataFrame:
 def z06(t: Tables) -> DataFrame:
     """Track length where it is plausible, else the straight line with a factor."""
     d = t.near.withColumn("along", F.col("m") * (0.5 + (F.col("a") * 7 + F.col("b")) % 20 * 0.1))
-    return d.select("a", "b", F.round(F.when(F.col("along").between(0.9 * F.col("m"), 2.0 * F.col("m")), F.col("along")).otherwise(F.col("m") * 1.15), 3).alias("length"))
+    return d.select("a", "b", geo.round3(F.when(F.col("along").between(0.9 * F.col("m"), 2.0 * F.col("m")), F.col("along")).otherwise(F.col("m") * 1.15)).alias("length"))
 
 
 @query("z11_resample", "SELECT c.cell, f.land FROM (SELECT cell, x // 2 AS fx, y // 2 AS fy FROM cells) AS c JOIN cells AS f ON f.x = c.fx AND f.y = c.fy")

@@ -108,3 +108,7 @@ def test_pairs_of_key_equal_brute_force_and_deal_a_single_key(spark):
 
 def test_platform_transfers_deal_large_groups(spark):
     assert "_part" in first_join(registry.QUERIES["j08_platform_transfers"](spark, SMALL))
+
+
+def test_track_lengths_are_rounded_without_text(spark):
+    assert "/ 1000.0)" in plan_of(registry.QUERIES["z06_track_lengths"](spark, SMALL))
