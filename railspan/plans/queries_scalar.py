@@ -20,7 +20,7 @@ def m01(t: Tables) -> DataFrame:
 
 @query("m03_walk_cost", "SELECT a, b, CAST(round_even(greatest(300, 90 + 1.25 * m / (80.0 / 60)), 0) AS BIGINT) AS cost, round(m * 1.3 / (80.0 / 60), 3) AS walk FROM near")
 def m03(t: Tables) -> DataFrame:
-    return t.near.select("a", "b", geo.walk_cost(F.col("m")).alias("cost"), F.round(geo.walk_seconds(F.col("m")), 3).alias("walk"))
+    return t.near.select("a", "b", geo.walk_cost(F.col("m")).alias("cost"), geo.round3(geo.walk_seconds(F.col("m"))).alias("walk"))
 
 
 @query("m04_cell_index", f"SELECT stop, CASE WHEN x >= 0 AND x < 60 AND y >= 0 AND y < 60 THEN CAST(y * 60 + x AS BIGINT) ELSE -1 END AS cell FROM (SELECT stop, floor((lon - 139.6) * {geo.KX} / 400) AS x, floor((lat - 35.55) * {geo.KY} / 400) AS y FROM stops)")

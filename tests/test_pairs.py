@@ -112,3 +112,7 @@ def test_platform_transfers_deal_large_groups(spark):
 
 def test_track_lengths_are_rounded_without_text(spark):
     assert "/ 1000.0)" in plan_of(registry.QUERIES["z06_track_lengths"](spark, SMALL))
+
+
+def test_walk_times_are_rounded_without_text(spark):
+    assert "/ 1000.0)" in plan_of(registry.QUERIES["m03_walk_cost"](spark, SMALL))
