@@ -206,9 +206,14 @@ SPREAD = FIELD + f", grown AS MATERIALIZED (SELECT cell + i * 1000 + j AS cell,
 BANDS = (1200, 2400, 3600)
 
 
-def field(t: Tables) -> DataFrame:
+def entered(t: Tables) -> DataFrame:
+    """(stop, x, y, elapsed): the cells with stations that are reached, by their number, and when first. Arrivals are as many as stops, so they are never broadcast."""
     a = arrivals(t).select("stop", (F.col("best") - DEPART).alias("elapsed"))
-    doors = cut(_stations(t).join(a, "stop").groupBy(F.col("cell").alias("stop"), "x", "y").agg(F.min("elapsed").alias("elapsed")))  # one search for each cell with stations
+    return _stations(t).join(a.hint("merge"), "stop").groupBy(F.col("cell").alias("stop"), "x", "y").agg(F.min("elapsed").alias("elapsed"))
+
+
+def field(t: Tables) -> DataFrame:
+    doors = cut(entered(t))  # one search for each cell with stations
     walked = graph.walksheds(doors.select("stop", F.col("stop").alias("cell"), "x", "y"), t.walk_edges, t.cells.where("land"), WALK_LIMIT, WALK_LIMIT // 60 + 1)
     return walked.join(doors.select("stop", "elapsed"), "stop").withColumn("s", F.col("elapsed") + F.col("sec")).where(F.col("s") <= BUDGET).groupBy("cell").agg(F.min("s").alias("sec"))
 

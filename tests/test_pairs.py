@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from railspan import registry
 from railspan.functions import geo
 from railspan.operators import similarity, spatial, tiles
+from railspan.plans import queries_graph
+from railspan.sources.bindings import DEPART, Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -116,3 +118,15 @@ def test_track_lengths_are_rounded_without_text(spark):
 
 def test_walk_times_are_rounded_without_text(spark):
     assert "/ 1000.0)" in plan_of(registry.QUERIES["m03_walk_cost"](spark, SMALL))
+
+
+def test_arrivals_are_not_broadcast_to_the_cells_they_enter(spark):
+    d = queries_graph.entered(Tables(spark, SMALL))
+    got = d.collect()
+    assert got and first_join(d).startswith("SortMergeJoin")  # as it ran, with a table far under the broadcast threshold
+    best = {r.stop: r.best - DEPART for r in registry.QUERIES["g01_earliest_arrivals"](spark, SMALL).collect()}
+    want = {}
+    for r in queries_graph._stations(Tables(spark, SMALL)).collect():
+        if r.stop in best:
+            want[r.cell] = min(best[r.stop], want.get(r.cell, best[r.stop]))
+    assert {r.stop: r.elapsed for r in got} == want and len(got) == len(want)
