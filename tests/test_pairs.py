@@ -130,3 +130,8 @@ def test_arrivals_are_not_broadcast_to_the_cells_they_enter(spark):
         if r.stop in best:
             want[r.cell] = min(best[r.stop], want.get(r.cell, best[r.stop]))
     assert {r.stop: r.elapsed for r in got} == want and len(got) == len(want)
+
+
+def test_arrivals_are_not_broadcast_to_their_places(spark):
+    d = registry.QUERIES["t03_best_destination"](spark, SMALL)
+    assert len(d.collect()) == 1 and first_join(d).startswith("SortMergeJoin")
