@@ -135,3 +135,19 @@ def test_arrivals_are_not_broadcast_to_the_cells_they_enter(spark):
 def test_arrivals_are_not_broadcast_to_their_places(spark):
     d = registry.QUERIES["t03_best_destination"](spark, SMALL)
     assert len(d.collect()) == 1 and first_join(d).startswith("SortMergeJoin")
+
+
+def test_isochrone_cells_broadcast_no_arrivals(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        """What Spark has run so far, by number."""
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ran = store.executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in map(ran.apply, range(ran.size()))}
+
+    before = plans()
+    assert registry.QUERIES["q01_isochrone_cells"](spark, SMALL).collect()
+    meet = [p for k, p in plans().items() if k not in before and "elapsed" in p and "p_partkey" in p]
+    assert len(meet) == 1  # where arrivals meet the cells of stops
+    assert set(re.findall(r"(\w+Join)[^\n]*\nLeft keys \[1\]: \[stop#", meet[0])) == {"SortMergeJoin"}
