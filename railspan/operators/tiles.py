@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KX, KY
+from .meets import Meets
 from .spatial import _around, _bucket
-from .walks import _spread, seconds
+from .walks import seconds
 
 #: Rows handed on at once, and pairs that are tested at once.
 ROWS, TESTS = 100_000, 1_000_000
+#: Parts that tiles with long work are dealt to.
+TILES = 192
 
 
-def by_tile(points: DataFrame, width: float, reach: int, run: Callable[..., Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
-    """What run(stop, lon, lat, own) yields for each tile of width metres: its places (stop, lon, lat), own ones marked, with those of reach tiles to each side, by stop."""
+def by_tile(points: DataFrame, width: float, reach: int, run: Callable[..., Iterator[list]], schema: str, parts: int | None = None) -> DataFrame:
+    """What run(stop, lon, lat, own) yields for each tile of width metres: its places (stop, lon, lat), own ones marked, with those of reach tiles to each side, by stop. Tiles are dealt to so many parts, or as Spark sees fit by their bytes."""
     gx, gy = _bucket(F.col("lon"), F.col("lat"), width)
     p = points.select("stop", "lon", "lat").where("stop is not null and not isnan(lon) and not isnan(lat)").withColumns({"_gx": gx, "_gy": gy, "_hx": gx, "_hy": gy})
     p = _around(p, reach).select("_gx", "_gy", "stop", "lon", "lat", ((F.col("_gx") == F.col("_hx")) & (F.col("_gy") == F.col("_hy"))).alias("own"))
@@ -51,7 +54,7 @@ def by_tile(points: DataFrame, width: float, reach: int, run: Callable[..., Iter
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in out], names=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return p.repartition("_gx", "_gy").sortWithinPartitions("_gx", "_gy").mapInArrow(task, schema)
+    return p.repartition(*[parts] * (parts is not None), "_gx", "_gy").sortWithinPartitions("_gx", "_gy").mapInArrow(task, schema)
 
 
 def _near(lon: np.ndarray, lat: np.ndarray, a: np.ndarray, b: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -88,35 +91,25 @@ def ranked_walks(points: DataFrame, radius: float) -> DataFrame:
 
 
 def met_pairs(points: DataFrame, radius: float, close: float) -> DataFrame:
-    """(src, dst, close): stops src < dst that have a stop of a greater number within radius metres of both; whether the least way over such a stop is under close metres. Rows of one stop share a place."""
-
-    def run(stop: np.ndarray, lon: np.ndarray, lat: np.ndarray, own: np.ndarray) -> Iterator[list[np.ndarray]]:
-        n, mine = len(stop), np.flatnonzero(own)
-        side = radius * 1.001
-        box = [(v >= v[mine].min() - side / c) & (v <= v[mine].max() + side / c) for v, c in ((lon, KX), (lat, KY))]
-        mid = np.flatnonzero(box[0] & box[1])  # stops that can be near a stop of the tile
-        found = [(i[k], j[k].astype(np.int32), m[k]) for i, j, m in _near(lon, lat, mid, np.arange(n), radius) for k in [j < mid[i]]]
-        i, lesser, far = (np.concatenate(c) for c in zip(*found, strict=True))
-        head = np.searchsorted(i, np.arange(len(mid) + 1))
-        key = i * n + lesser  # by stop between, then by stop
-        out, rows = [], 0
-        up = np.lexsort((i, lesser))  # the stops between of each stop, by its place in lesser
-        first = np.searchsorted(lesser[up], np.arange(n + 1))
-        del found
-        for s in mine:
-            link = up[first[s] : first[s + 1]]
-            via = i[link]
-            start = np.searchsorted(key, via * n + s, "right")
-            of, which = _spread(start, head[via + 1] - start)
-            least = np.full(n, np.inf)
-            np.minimum.at(least, lesser[of], far[link][which] + far[of])
-            got = np.flatnonzero(least < np.inf)
-            out.append([np.full(len(got), stop[s]), stop[got], least[got] < close])
-            rows += len(got)
-            if rows >= ROWS:
-                yield [np.concatenate(c) for c in zip(*out, strict=True)]
-                out, rows = [], 0
-        if rows:
-            yield [np.concatenate(c) for c in zip(*out, strict=True)]
-
-    return by_tile(points.select("stop", "lon", "lat").distinct(), radius, 2, run, "src bigint, dst bigint, close boolean")
+    """(src, dst, close): stops src < dst that have a stop of a greater number within radius metres of both; whether the least way over such a stop is under close metres, which is at most radius. Rows of one stop share a place."""
+
+    def run(stop: np.ndarray, lon: np.ndarray, lat: np.ndarray, own: np.ndarray) -> Iterator[list]:
+        out, held = [], 0
+        for s, short, rest in Meets(lon, lat, own, radius, close).pairs():
+            for ends, is_close in ((short, True), (rest, False)):
+                for k in range(0, len(ends), ROWS):
+                    out.append((s, is_close, ends[k : k + ROWS]))
+                    held += len(out[-1][2])
+            if held >= ROWS:
+                yield lists(stop, out)
+                out, held = [], 0
+        if out:
+            yield lists(stop, out)
+
+    def lists(stop: np.ndarray, rows: list[tuple[int, bool, np.ndarray]]) -> list:
+        s, is_close, ends = zip(*rows, strict=True)
+        at = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
+        return [stop[list(s)], np.array(is_close), pa.ListArray.from_arrays(at, stop[np.concatenate(ends)])]
+
+    d = by_tile(points.select("stop", "lon", "lat").distinct(), 2 * radius, 1, run, "src bigint, close boolean, dst array<bigint>", TILES)
+    return d.select("src", F.explode("dst").alias("dst"), "close")  # a row for each place and not for each pair comes from Python

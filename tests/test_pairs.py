@@ -4,11 +4,12 @@ import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from railspan import registry
 from railspan.functions import geo
-from railspan.operators import similarity, spatial, tiles
+from railspan.operators import meets, similarity, spatial, tiles
 from railspan.plans import queries_graph
 from railspan.sources.bindings import DEPART, Tables
 
@@ -72,6 +73,39 @@ def test_met_pairs_equal_brute_force_without_joining_pairs(spark):
     assert len({c for _, _, c in want}) == 2 and sorted(map(tuple, d.collect())) == want
 
 
+def test_meets_equal_brute_force_in_parts_and_dense_places(monkeypatch):
+    r = np.random.default_rng(4)
+
+    def compare(lon, lat, own, radius, close):
+        m = np.sqrt((np.subtract.outer(lon, lon) * geo.KX) ** 2 + (np.subtract.outer(lat, lat) * geo.KY) ** 2)
+        m[m > radius] = np.inf
+        least = {(s, d): (m[s, d + 1 :] + m[d, d + 1 :]).min() for s in np.flatnonzero(own).tolist() for d in range(s + 1, len(lon) - 1)}
+        got = [(s, d, c) for s, *ends in meets.Meets(lon, lat, own, radius, close).pairs() for c, ds in zip((True, False), ends, strict=True) for d in ds.tolist()]
+        assert sorted(got) == [(s, d, bool(v < close)) for (s, d), v in sorted(least.items()) if v < np.inf]
+
+    for size, tests in ((64_000_000, 1_000_000), (900, 2_000)):  # in one part, and in many
+        monkeypatch.setattr(meets, "BYTES", size)
+        monkeypatch.setattr(meets, "TESTS", tests)
+        for span, step in ((0.05, 0), (0.02, 1e-4), (0.01, 1e-3), (0.0, 0)):
+            lon, lat = (v + (np.rint(x / step) * step if step else x) for v, x in zip((139.6, 35.5), r.random((2, 350)) * span, strict=True))
+            compare(lon, lat, (lon >= 139.6 + span * 0.3) & (lat < 35.5 + span * 0.7) | (span == 0), 1000.0, 1000.0)
+        lon, lat = (v + r.normal(size=350) ** 3 * 0.004 for v in (139.6, 35.5))
+        compare(lon, lat, np.abs(lon - 139.6) < 0.004, 1000.0, 400.0)
+
+
+def test_section_match_does_not_take_a_step_for_each_way(monkeypatch):
+    r, taken = np.random.default_rng(6), []
+    squares = meets.Meets._squares
+    monkeypatch.setattr(meets.Meets, "_squares", staticmethod(lambda *a: taken.append(len(a[0]) * len(a[2])) or squares(*a)))
+    lon, lat = 139.6 + r.random(3000) * 0.01, 35.5 + r.random(3000) * 0.01
+    pairs = sum(len(c) + len(d) for _, c, d in meets.Meets(lon, lat, np.ones(3000, bool), 1000.0, 1000.0).pairs())
+    assert pairs > 4_000_000 and sum(taken) < 10 * pairs  # there are over 3,000,000,000 ways
+
+
+def test_section_match_takes_a_row_for_each_place_from_python(spark):
+    assert "Generate explode(dst" in plan_of(registry.QUERIES["j12_section_match"](spark, SMALL))
+
+
 def test_tiles_take_empty_tables_and_one_place(spark):
     for rows in ([], [(1, 139.7, 35.6)], [(1, None, 35.6)]):
         d = spark.createDataFrame(rows, "stop long, lon double, lat double")
