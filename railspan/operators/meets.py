@@ -10,7 +10,7 @@ from ..functions.geo import KX, KY
 from .walks import _spread
 
 #: Bytes of a task's rows of bits, pairs that are tested at once, places of a cell that are aimed at, and metres that a bound may be off by rounding.
-BYTES, TESTS, FULL, SLIP = 64_000_000, 1_000_000, 8, 1e-3
+BYTES, TESTS, FULL, SLIP = 128_000_000, 1_000_000, 8, 1e-3
 #: Levels of cells, each twice as wide; windows of fine cells around a point, and where on the way between two places, from -1 to 1, they are looked up.
 LEVELS, WINDOWS, ALONG = 4, 12, (np.array([-0.35, 0.35]), np.array([-0.7, -0.55, -0.2, 0.0, 0.2, 0.55, 0.7]), np.linspace(-0.95, 0.95, 30))
 
@@ -65,7 +65,7 @@ class Meets:
     def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(s, those that are close, the others): the places that own places s meet, in pieces."""
         n = len(self.lon)
-        parts = max(1, -(-n * len(self.mid) // (8 * BYTES)), min(2, n // 4096))
+        parts = max(1, -(-n * len(self.mid) // (8 * BYTES)))
         edges = np.linspace(0, n, parts + 1).astype(int).tolist()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi > lo:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import KX, KY
 from .meets import Meets
@@ -20,7 +21,7 @@ ROWS, TESTS = 100_000, 1_000_000
 TILES = 192
 
 
-def by_tile(points: DataFrame, width: float, reach: int, run: Callable[..., Iterator[list]], schema: str, parts: int | None = None) -> DataFrame:
+def by_tile(points: DataFrame, width: float, reach: int, run: Callable[..., Iterator[list]], schema: str | T.StructType, parts: int | None = None) -> DataFrame:
     """What run(stop, lon, lat, own) yields for each tile of width metres: its places (stop, lon, lat), own ones marked, with those of reach tiles to each side, by stop. Tiles are dealt to so many parts, or as Spark sees fit by their bytes."""
     gx, gy = _bucket(F.col("lon"), F.col("lat"), width)
     p = points.select("stop", "lon", "lat").where("stop is not null and not isnan(lon) and not isnan(lat)").withColumns({"_gx": gx, "_gy": gy, "_hx": gx, "_hy": gy})
@@ -53,7 +54,7 @@ def by_tile(points: DataFrame, width: float, reach: int, run: Callable[..., Iter
                 for k in range(0, len(out[0]), ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in out], names=names)
 
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")] if isinstance(schema, str) else schema.names
     return p.repartition(*[parts] * (parts is not None), "_gx", "_gy").sortWithinPartitions("_gx", "_gy").mapInArrow(task, schema)
 
 
@@ -111,5 +112,7 @@ def met_pairs(points: DataFrame, radius: float, close: float) -> DataFrame:
         at = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
         return [stop[list(s)], np.array(is_close), pa.ListArray.from_arrays(at, stop[np.concatenate(ends)])]
 
-    d = by_tile(points.select("stop", "lon", "lat").distinct(), 2 * radius, 1, run, "src bigint, close boolean, dst array<bigint>", TILES)
+    kinds = (("src", T.LongType()), ("close", T.BooleanType()), ("dst", T.ArrayType(T.LongType(), False)))
+    schema = T.StructType([T.StructField(c, kind, False) for c, kind in kinds])  # columns that can't be null are written faster
+    d = by_tile(points.select("stop", "lon", "lat").distinct(), 2 * radius, 1, run, schema, TILES)
     return d.select("src", F.explode("dst").alias("dst"), "close")  # a row for each place and not for each pair comes from Python
